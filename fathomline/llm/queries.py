@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import secret_scan
+from . import pii, secret_scan
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(C.table(spark, sf_dir, "documents")))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.scan(C.table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op4_secret_scan": op4_secret_scan,
+    "op10_pii": op10_pii,
 }
 ORACLES: dict[str, str] = {}
