@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import decontaminate, fingerprints, pii, secret_scan
+from . import decontaminate, fingerprints, mixing, pii, quality, secret_scan
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,14 +24,20 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(C.table(spark, sf_dir, "documents")))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(C.table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.scan(C.table(spark, sf_dir, "documents")))
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_decontaminate": op2_decontaminate,
     "op3_fingerprints": op3_fingerprints,
     "op4_secret_scan": op4_secret_scan,
+    "op5_mixing": op5_mixing,
     "op10_pii": op10_pii,
 }
 _WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -47,4 +57,20 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN h USING (doc_id) LEFT JOIN k USING (doc_id)""",
+    "op5_mixing": r"""
+        WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM d GROUP BY source),
+        o AS (SELECT source, source_size, w, source_size * 3 / w AS ratio, row_number() OVER r AS place,
+                     (sum(source_size) OVER () - coalesce(sum(source_size * 3) OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                         / (sum(w) OVER (r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS unit
+              FROM s WINDOW r AS (ORDER BY source_size * 3 / w, source NULLS LAST)),
+        u AS (SELECT arg_min(unit, place) AS unit FROM o WHERE ratio > unit),
+        t AS (SELECT source, source_size, CAST(source_size * 3 AS DOUBLE) AS cap, (SELECT unit FROM u) * w AS share FROM o),
+        k AS (SELECT doc_id, size, source_size, least(cap, coalesce(share, cap)) AS target,
+                     row_number() OVER (PARTITION BY d.source ORDER BY size DESC, doc_id) AS rank,
+                     CAST(('0x' || substr(md5('mix:1:' || coalesce('s:' || d.source, 'n')), 1, 8)) AS BIGINT) / 4294967296.0 AS shift
+              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        c AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM k)
+        SELECT doc_id, size, source_size, target,
+               size * CAST(floor(rate * rank + shift) - floor(rate * (rank - 1) + shift) AS BIGINT) AS taken FROM c""",
 }
