@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import decontaminate, fingerprints, mixing, pii, quality, secret_scan, warc
+from . import decontaminate, fingerprints, html_extract, mixing, pii, quality, secret_scan, warc
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(C.table(spark, sf_dir, "pages"))
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(C.table(spark, sf_dir, "pages"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.scan(C.table(spark, sf_dir, "documents")))
 
@@ -43,6 +47,7 @@ QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op5_mixing": op5_mixing,
     "op7_warc": op7_warc,
+    "op9_html_extract": op9_html_extract,
     "op10_pii": op10_pii,
 }
 _WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
