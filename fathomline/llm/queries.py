@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import decontaminate, fingerprints, html_extract, mixing, pii, quality, secret_scan, warc
+from . import decontaminate, fingerprints, html_extract, line_dedup, mixing, pii, quality, secret_scan, warc
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(C.table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(C.table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(C.table(spark, sf_dir, "pages"))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op3_fingerprints": op3_fingerprints,
     "op4_secret_scan": op4_secret_scan,
     "op5_mixing": op5_mixing,
+    "op6_line_dedup": op6_line_dedup,
     "op7_warc": op7_warc,
     "op9_html_extract": op9_html_extract,
     "op10_pii": op10_pii,
@@ -83,4 +88,17 @@ ORACLES: dict[str, str] = {
         c AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM k)
         SELECT doc_id, size, source_size, target,
                size * CAST(floor(rate * rank + shift) - floor(rate * (rank - 1) + shift) AS BIGINT) AS taken FROM c""",
+    "op6_line_dedup": r"""
+        WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+        t AS (SELECT doc_id, list_transform(l, lambda x: trim(x, ' ' || chr(9) || chr(13))) AS t FROM d WHERE len(l) >= 3),
+        w AS (SELECT doc_id, i, t[i + 1] || chr(10) || t[i + 2] || chr(10) || t[i + 3] AS w
+              FROM (SELECT doc_id, t, unnest(range(0, len(t) - 2)) AS i FROM t)),
+        r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS n FROM w WHERE length(w) > 2),
+        gone AS (SELECT DISTINCT doc_id, i + unnest([0, 1, 2]) AS i FROM r WHERE n > 1),
+        each AS (SELECT doc_id, unnest(l) AS line, unnest(range(0, len(l))) AS i FROM d),
+        kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text, count(*) AS n
+                 FROM (SELECT * FROM each ANTI JOIN gone USING (doc_id, i)) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(l) - coalesce(n, 0), 0) AS BIGINT) AS n_removed,
+               CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text
+        FROM d LEFT JOIN kept USING (doc_id)""",
 }
