@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import decontaminate, fingerprints, html_extract, line_dedup, mixing, pii, quality, secret_scan, warc
+from . import decontaminate, fingerprints, html_extract, jaccard_join, line_dedup, mixing, pii, quality, secret_scan, warc
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(C.table(spark, sf_dir, "pages"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(C.table(spark, sf_dir, "documents")).drop("doc")
+
+
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(C.table(spark, sf_dir, "pages"))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_line_dedup": op6_line_dedup,
     "op7_warc": op7_warc,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_html_extract": op9_html_extract,
     "op10_pii": op10_pii,
 }
