@@ -96,3 +96,17 @@ def labelled(spans: str, kind: str, rank: int, keep: str = "true") -> str:
 def joined(labelled_spans: str) -> str:
     """SQL: 'kind:start:end,...' of sorted labelled spans."""
     return f"array_join(transform({labelled_spans}, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')"
+
+
+def packed(df: DataFrame) -> Column:
+    """All columns of df as one, so that none clashes with what an operator adds."""
+    return F.struct(*[F.col(quoted_name(c)) for c in df.columns]).alias("_row")
+
+
+def unpacked(df: DataFrame, **instead: Column) -> list[Column]:
+    """The columns of df from a row that `packed` made, some of them replaced."""
+    return [(instead[c] if c in instead else F.col(f"_row.{quoted_name(c)}")).alias(c) for c in df.columns]
+
+
+def quoted_name(c: str) -> str:
+    return "`" + c.replace("`", "``") + "`"

@@ -269,5 +269,5 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     found = classes(docs, **how).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
     # Rows of one id in one class: the one of the least contents; equal rows: one of them.
     kept = found.groupBy("class_id").agg(F.min("doc").alias("_doc")).select(F.coalesce("class_id", F.lit(LEAST_ID)).alias("_sid"), "_doc")
-    keyed = docs.withColumn("_sid", F.coalesce("doc_id", F.lit(LEAST_ID))).withColumn("_doc", C.row_key("doc_id", "text"))
-    return keyed.join(kept, ["_sid", "_doc"]).dropDuplicates(["_sid", "_doc"]).select(*docs.columns)
+    keyed = docs.select(C.packed(docs), F.coalesce("doc_id", F.lit(LEAST_ID)).alias("_sid"), C.row_key("doc_id", "text").alias("_doc"))
+    return keyed.join(kept, ["_sid", "_doc"]).dropDuplicates(["_sid", "_doc"]).select(*C.unpacked(docs))

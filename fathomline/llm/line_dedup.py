@@ -51,7 +51,8 @@ def deduped(docs: DataFrame, lines: int = LINES) -> DataFrame:
     id and text all but one are later occurrences as a whole: they keep no line if they have three. A column of docs that has
     an output's name is replaced.
     """
-    keyed = _keyed(docs.drop("n_lines", "n_removed"))
+    docs = docs.drop("n_lines", "n_removed")
+    keyed = _keyed(docs).select(C.packed(docs), "text", "_sid", "_doc")
     found = later(docs, lines)
     d = keyed.join(found, ["_sid", "_doc"], "left")
     # Rows that share id and contents share their windows, too: number them; only they have a number over 1.
@@ -68,7 +69,7 @@ def deduped(docs: DataFrame, lines: int = LINES) -> DataFrame:
     n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.regexp_count("text", F.lit("\n")) + 1)
     d = d.withColumn("n_lines", n_lines.cast("long")).withColumn("n_removed", F.coalesce(F.size("_l") - F.size("_kept"), F.lit(0)).cast("long"))
     d = d.withColumn("text", F.when(F.col("n_removed") > 0, F.array_join("_kept", "\n")).otherwise(F.col("text")))
-    return d.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
+    return d.select(*C.unpacked(docs, text=F.col("text")), "n_lines", "n_removed")
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -93,15 +93,17 @@ def plan(docs: DataFrame, weight=default_weight, most: int = 3, seed: int = 1) -
 
 
 def mixed(docs: DataFrame, weight=default_weight, most: int = 3, seed: int = 1) -> DataFrame:
-    """docs, each row as many times as the plan says, with `copy` from 1; rows of no copies go."""
+    """docs, each row as many times as the plan says, with `copy` from 1 (a column of that name is replaced); rows of no copies go."""
     planned = plan(docs, weight, most, seed)
     sid = F.coalesce("doc_id", F.lit(LEAST_ID)).alias("_sid")
     # Rows alike in every key get their numbers of copies in any order.
     numbers = planned.groupBy(sid, F.col("doc").alias("_doc")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies"))
-    keyed = docs.select(*docs.columns, sid, C.row_key("doc_id", "source", "text").alias("_doc"))
+    keyed = docs.select(C.packed(docs), sid, C.row_key("doc_id", "source", "text").alias("_doc"))
     keyed = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("_sid", "_doc").orderBy(F.lit(0))))
     copies = F.element_at("_copies", F.col("_nth"))
-    return keyed.join(numbers, ["_sid", "_doc"]).filter(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), copies.cast("int")))).select(*docs.columns, "copy")
+    return keyed.join(numbers, ["_sid", "_doc"]).filter(copies > 0).select(
+        *C.unpacked(docs.drop("copy")), F.explode(F.sequence(F.lit(1), copies.cast("int"))).alias("copy")
+    )
 
 
 def report(docs: DataFrame, seed: int = 1) -> DataFrame:
