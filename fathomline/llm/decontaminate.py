@@ -2,8 +2,8 @@
 
 For each window of test words the two rarest words (by their counts in the whole corpus) are anchors. The index stores
 the postings of the anchors' terms: document, position and the words around it. Postings are intersected after their
-place in the test item is taken off (all anchors of a copied passage fall on one diagonal); what is left is compared word
-by word, for exact phrases, or by share of words near by, for proximity matches. All of it is DataFrame expressions.
+place in the test item is taken off (all anchors of a copied passage fall on one diagonal); what is left, next to a word
+that is next to it in the item, is compared word by word, for exact phrases, or by share of words near by, for proximity matches. All of it is DataFrame expressions.
 
 Test words are broadcast in blocks of a bounded number of terms: a larger test set takes more passes over the corpus, not
 more memory.
@@ -58,7 +58,8 @@ def term_counts(docs: DataFrame, terms: DataFrame, terms_a_pass: int = TERMS_A_P
 
 
 def anchors(items: DataFrame, counts: DataFrame) -> DataFrame:
-    """(item_id, item, w, j, term): places of the two rarest words of each window that may occur (all its words do)."""
+    """(item_id, item, w, j, term, before, after): places, and the words beside them, of the two rarest words of each window
+    that may occur (all its words do)."""
     each = items.select("item_id", "item", "w", F.posexplode("words").alias("j", "term"))
     placed = each.join(counts, "term", "left").groupBy("item_id", "item", "w").agg(
         F.array_sort(F.collect_list(F.struct("j", F.coalesce("n", F.lit(0)).alias("n"), "term"))).alias("at")
@@ -69,34 +70,44 @@ def anchors(items: DataFrame, counts: DataFrame) -> DataFrame:
         "w",
         F.explode(F.expr("transform(sequence(0, size(at) - w), s -> array_sort(transform(slice(at, s + 1, w), x -> named_struct('n', x.n, 'j', x.j, 'term', x.term))))")).alias("win"),
     ).filter("win[0].n > 0")
-    return windows.select("item_id", "item", "w", F.explode(F.slice("win", 1, 2)).alias("a")).select("item_id", "item", "w", "a.j", "a.term").distinct()
+    places = windows.select("item_id", "item", "w", F.explode(F.slice("win", 1, 2)).alias("a")).select("item_id", "item", "w", "a.j", "a.term").distinct()
+    words = items.select(F.col("item_id").alias("_id"), F.col("item").alias("_item"), "words")
+    return places.join(words, (places["item"] == words["_item"]) & places["item_id"].eqNullSafe(words["_id"])).select(
+        "item_id", "item", "w", "j", "term", F.expr("get(words, j - 1)").alias("before"), F.expr("get(words, j + 1)").alias("after")
+    )
+
 
+def postings(docs: DataFrame, places: DataFrame, window: int = 10, beside: bool = True, terms_a_pass: int = TERMS_A_PASS) -> DataFrame:
+    """The positional index: (doc_id, doc, term, pos, left, near), near being the words up to window - 1 places either side.
 
-def postings(docs: DataFrame, terms: DataFrame, window: int = 10, terms_a_pass: int = TERMS_A_PASS) -> DataFrame:
-    """The positional index: (doc_id, doc, term, pos, left, near), near being the words up to window - 1 places either side."""
+    With `beside` only postings next to a word that is also next to the term in an item: all that a phrase needs.
+    """
     r = window - 1
     tokens = docs.select("doc_id", C.row_key("doc_id", "text").alias("doc"), words("text").alias("_words")).select("doc_id", "doc", "_words", F.posexplode("_words").alias("pos", "term"))
     near = F.expr(f"slice(_words, greatest(pos - {r}, 0) + 1, least(pos, {r}) + 1 + {r})").alias("near")
+    terms = places.select(F.col("term").alias("_term"), "w", "before", "after").distinct() if beside else places.select(F.col("term").alias("_term")).distinct()
+    on = F.expr("term = _term AND (w = 1 OR get(_words, pos - 1) = before OR get(_words, pos + 1) = after)") if beside else F.expr("term = _term")
     parts = [
-        tokens.join(F.broadcast(b), "term", "left_semi").select("doc_id", "doc", "term", "pos", F.least("pos", F.lit(r)).alias("left"), near)
-        for b in _blocks(terms, terms_a_pass)
+        tokens.join(F.broadcast(terms.join(b, F.col("_term") == b["term"], "left_semi")), on, "left_semi").select("doc_id", "doc", "term", "pos", F.least("pos", F.lit(r)).alias("left"), near)
+        for b in _blocks(places.select("term").distinct(), terms_a_pass)
     ]
     return _union(parts, tokens.select("doc_id", "doc", "term", "pos", F.lit(0).alias("left"), F.col("_words").alias("near")))
 
 
-def build(docs: DataFrame, items: DataFrame, window: int = 10, terms_a_pass: int = TERMS_A_PASS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Items, anchors and the index of the corpus for them, each stored in the shared folder."""
+def build(docs: DataFrame, items: DataFrame, window: int = 10, beside: bool = True, terms_a_pass: int = TERMS_A_PASS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Items, anchors and the index of the corpus for them, each stored in the shared folder; proximity needs beside=False."""
     own = C.stored(_items(items, window), "items")
     terms = own.select(F.explode("words").alias("term")).distinct()
     counts = C.stored(term_counts(docs, terms, terms_a_pass), "term-counts")
     places = C.stored(anchors(own, counts), "anchors")
-    return own, places, C.stored(postings(docs, places.select("term").distinct(), window, terms_a_pass), "postings")
+    return own, places, C.stored(postings(docs, places, window, beside, terms_a_pass), "postings")
 
 
-def _placed(places: DataFrame, index: DataFrame, terms_a_pass: int) -> DataFrame:
-    """Each posting at each place its term has as an anchor; items go out in blocks, as terms do."""
+def _placed(places: DataFrame, index: DataFrame, terms_a_pass: int, beside: bool = False) -> DataFrame:
+    """Each posting at each place its term has as an anchor, with `beside` where a word next to it is the same; items go out in blocks, as terms do."""
+    same = F.expr("w = 1 OR get(near, left - 1) = before OR get(near, left + 1) = after") if beside else F.lit(True)
     parts = [index.join(F.broadcast(places.join(b, "term", "left_semi")), "term") for b in _blocks(places.select("term").distinct(), terms_a_pass)]
-    return _union(parts, index.join(places, "term"))
+    return _union(parts, index.join(places, "term")).filter(same).drop("before", "after")
 
 
 def phrases(own: DataFrame, places: DataFrame, index: DataFrame, terms_a_pass: int = TERMS_A_PASS) -> DataFrame:
@@ -105,7 +116,7 @@ def phrases(own: DataFrame, places: DataFrame, index: DataFrame, terms_a_pass: i
     Anchors on one diagonal of a document and item are gathered; one alone, of a window of several words, is no candidate.
     """
     lists = (
-        _placed(places, index, terms_a_pass)
+        _placed(places, index, terms_a_pass, True)
         .groupBy("doc_id", "doc", "item_id", "item", "w", (F.col("pos") - F.col("j")).alias("diagonal"))
         .agg(F.array_sort(F.collect_list(F.struct("j", "pos", "left", "near"))).alias("at"))
         .withColumn("at", F.expr("filter(at, (a, i) -> w = 1 OR (i > 0 AND a.j - at[i - 1].j < w) OR (i + 1 < size(at) AND at[i + 1].j - a.j < w))"))
@@ -147,7 +158,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, terms_a_p
     Null and empty texts have no words and are clean, as are all if no item has words. Rows that share an id but not their text
     are judged apart; equal rows get equal results. Null ids are ids. Other columns of docs and items don't matter.
     """
-    found = phrases(*build(docs, items, window, terms_a_pass), terms_a_pass)
+    found = phrases(*build(docs, items, window, True, terms_a_pass), terms_a_pass)
     per_doc = found.groupBy("doc_id", "doc").agg(F.collect_set(F.struct("start", "end")).alias("runs"), F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit(""))).alias("ids"))
     hits = per_doc.select(
         F.col("doc_id").alias("_id"),
@@ -172,5 +183,5 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, terms_a_p
 def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10, most_hit: float = 0.0) -> DataFrame:
     """The rows of docs of whose words no more than the share `most_hit` is hit, with all their columns."""
     judged = contamination(docs, items, window).filter(F.col("n_hit") > most_hit * F.col("n_words")).select(F.col("doc_id").alias("_id"), F.col("doc").alias("_doc")).distinct()
-    keyed = docs.withColumn("_key", C.row_key("doc_id", "text"))
-    return keyed.join(judged, (keyed["_key"] == judged["_doc"]) & keyed["doc_id"].eqNullSafe(F.col("_id")), "left_anti").drop("_key")
+    keyed = docs.select(C.packed(docs), C.row_key("doc_id", "text").alias("_key"))
+    return keyed.join(judged, (keyed["_key"] == judged["_doc"]) & F.col("_row.doc_id").eqNullSafe(F.col("_id")), "left_anti").select(*C.unpacked(docs))
