@@ -52,7 +52,7 @@ def deduped(docs: DataFrame, lines: int = LINES) -> DataFrame:
     an output's name is replaced.
     """
     docs = docs.drop("n_lines", "n_removed")
-    keyed = _keyed(docs).select(C.packed(docs), "text", "_sid", "_doc")
+    keyed = _keyed(docs.select(C.packed(docs), "doc_id", "text")).drop("doc_id")
     found = later(docs, lines)
     d = keyed.join(found, ["_sid", "_doc"], "left")
     # Rows that share id and contents share their windows, too: number them; only they have a number over 1.
