@@ -16,7 +16,7 @@ K1 = 1.5
 
 def token_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", by: list[str] | None = None, stops: list[str] | None = None) -> DataFrame:
     """(by..., id, term): one row a token."""
-    return docs.select(*(by or []), id_col, F.explode(tokens(text, stops)).alias("term"))
+    return docs.select(*(by or []), id_col, F.explode_outer(tokens(text, stops)).alias("term")).filter("term IS NOT NULL")
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text: str = "text", by: list[str] | None = None, stops: list[str] | None = None) -> DataFrame:
@@ -26,9 +26,10 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text: str = "text", by: li
     d = docs.select(*(by or []), id_col, ts.alias("_t")).withColumn(
         "_p", F.expr("filter(transform(_t, (t, i) -> IF(i = 0 OR t != _t[i - 1], named_struct('term', t, 'at', i), NULL)), x -> x IS NOT NULL)")
     )
-    return d.select(*(by or []), id_col, F.explode(F.expr("transform(_p, (x, i) -> named_struct('term', x.term, 'tf', CAST(IF(i + 1 < size(_p), _p[i + 1].at, size(_t)) - x.at AS BIGINT)))")).alias("_x")).select(
+    # The outer form: the plain one infers a filter on the array's size, which is pushed below and sorts the tokens anew for each of them.
+    return d.select(*(by or []), id_col, F.explode_outer(F.expr("transform(_p, (x, i) -> named_struct('term', x.term, 'tf', CAST(IF(i + 1 < size(_p), _p[i + 1].at, size(_t)) - x.at AS BIGINT)))")).alias("_x")).select(
         *(by or []), id_col, "_x.term", "_x.tf"
-    )
+    ).filter("term IS NOT NULL")
 
 
 def term_stats(posts: DataFrame, by: list[str] | None = None) -> DataFrame:
