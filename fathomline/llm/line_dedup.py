@@ -28,7 +28,8 @@ def windows(docs: DataFrame, lines: int = LINES) -> DataFrame:
     d = _keyed(docs).select("_sid", "_doc", F.expr("transform(split(text, '\\n', -1), l -> btrim(l, ' \\t\\r'))").alias("l"))
     # The condition stands inside the expression, as filters may be put in another order.
     each = d.select("_sid", "_doc", F.expr(f"IF(size(l) >= {lines}, transform(sequence(0, size(l) - {lines}), i -> array_join(slice(l, i + 1, {lines}), '\\n')), NULL)").alias("w"))
-    return each.select("_sid", "_doc", F.posexplode("w").alias("at", "w")).filter(f"length(w) > {lines - 1}").select(
+    # The outer form: the plain one infers a filter on the array's size, which is pushed below and builds every window anew for each line.
+    return each.select("_sid", "_doc", F.posexplode_outer("w").alias("at", "w")).filter(f"length(w) > {lines - 1}").select(
         "_sid", "_doc", "at", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit("wide"), "w").alias("h2")
     )
 
