@@ -111,6 +111,15 @@ class Engine:
         parent = F.when(F.col("element_type").isin(*ids.MEMBERS), extract.parent_name("title"))
         return d.select("element_type", name.alias("element_name"), extract.english_name("title").alias("element_name_en"), parent.alias("parent_type"), "content", "path", "seq")
 
+    def member_items(self, pages: DataFrame) -> DataFrame:
+        """Items of the members that type pages link to; a member's own page, if there is one, is preferred by index()."""
+        t, c = extract.title("html"), extract.content("html")
+        d = pages.filter(extract.page_type("path", t, c) == "object").select("path", "seq", "html", extract.object_name(t).alias("parent_type"))
+        kinds = {k: f"_{k}" for k in extract.MEMBER_LINKS}
+        flat = el.flattened(d.select(F.struct("path", "seq", "parent_type").alias("path"), *[extract.member_links("html", k).alias(n) for k, n in kinds.items()]), kinds)
+        name = F.when(F.col("element_type") == "constructor", "Новый").otherwise(F.col("element.name"))
+        return flat.select("element_type", name.alias("element_name"), F.lit("").alias("element_name_en"), "path.parent_type", F.col("element.description").alias("content"), "path.path", "path.seq")
+
     def manage(self, action: str, version: str | None = None, items: DataFrame | None = None) -> DataFrame | bool | str | None:
         """The catalogue's actions by name."""
         if action not in ACTIONS:

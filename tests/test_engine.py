@@ -121,6 +121,19 @@ def test_signatures_examples_related(spark):
     assert r.e == ["А = 1;\nБ = Длина(А);"] and r.s == "Длина(А)" and r.r == ["Строка", "Массив.Добавить", "Добавить"]
 
 
+def test_marked_pages(spark, tmp_path):
+    h = ("<h1>Массив (Array)</h1><p class='V8SH_chapter'>Параметры:</p><div class='V8SH_rubric'><p>&lt;Кол&gt; (необязательный)</p></div>Тип: <a href='x'>Число</a>. Размер массива."
+         "<div class='V8SH_rubric'>&lt;Вид&gt;</div>Тип: <a>Строка</a><p class='V8SH_chapter'>Пример:</p><pre>А = Новый Массив;<br>Б = 1;</pre>"
+         "<a href='methods/Add1.html'>Добавить (Add)</a><a href='methods/Add1.html'>Добавить</a><a href='ctors/c.html'>По размеру</a><a href='properties/p.html'>Длина</a>")
+    pages = spark.createDataFrame([("x/objects/o1.html", h, 0)], "path string, html string, seq long")
+    r = pages.select(extract.marked_parameters("html", extract.content("html")).alias("p"), extract.marked_examples("html", extract.content("html")).alias("e")).first()
+    assert [(x.name, x.type, x.required) for x in r.p] == [("Кол", "Число", False), ("Вид", "Строка", True)] and r.e == ["А = Новый Массив;\nБ = 1;"]
+    e = Engine(spark, str(tmp_path / "m"), stops=[])
+    items = e.page_items(pages).unionByName(e.member_items(pages))
+    found = {(x.element_type, x.element_name, x.parent_type) for x in items.collect()}
+    assert found == {("type", "Массив", None), ("method", "Добавить", "Массив"), ("property", "Длина", "Массив"), ("constructor", "Новый", "Массив")}
+
+
 def test_engine(spark, tmp_path):
     e = Engine(spark, str(tmp_path / "w"))
     rows = [("method", "Добавить", "Add", "Массив", "Добавляет значение", "a/methods/m.html", 0), ("type", "Массив", "Array", None, "Список значений", "x/objects/o.html", 1),
