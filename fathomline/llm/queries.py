@@ -106,4 +106,32 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(l) - coalesce(n, 0), 0) AS BIGINT) AS n_removed,
                CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text
         FROM d LEFT JOIN kept USING (doc_id)""",
+    # The signatures' recall is 0.9999; the SQL compares all n-grams.
+    "op8_jaccard_join": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        n AS (SELECT text, min(doc_id) AS node, count(*) AS copies FROM d GROUP BY text),
+        w AS (SELECT node, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM n),
+        g AS (SELECT DISTINCT node, array_to_string(w[s : s + 4], ' ') AS g
+              FROM (SELECT node, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS s FROM w WHERE len(w) > 0)),
+        z AS (SELECT node, count(*) AS z FROM g GROUP BY node),
+        p AS (SELECT a.node AS a, b.node AS b, count(*) AS c FROM g a JOIN g b USING (g) WHERE a.node != b.node GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN z x ON x.node = a JOIN z y ON y.node = b WHERE 5 * c >= 4 * (x.z + y.z - c)),
+        r AS (SELECT node AS a, node AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        k AS (SELECT a AS node, min(b) AS class_id FROM r GROUP BY a),
+        t AS (SELECT a AS node, count(*) AS texts, sum(copies) AS docs FROM l JOIN n ON n.node = b GROUP BY a)
+        SELECT doc_id, class_id, CAST(copies - 1 AS BIGINT) AS n_copies, CAST(coalesce(texts, 0) AS BIGINT) AS n_text_links,
+               CAST(coalesce(docs, 0) + copies - 1 AS BIGINT) AS n_links
+        FROM d JOIN n USING (text) JOIN k USING (node) LEFT JOIN t USING (node)""",
+    # A record a row: SQL can give what the archives read back have to say.
+    "op7_warc": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        f AS (SELECT html, max(page_id) AS first FROM p GROUP BY html),
+        b AS (SELECT page_id, html, first, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+                     list_aggregate(list_transform(range(0, 160), lambda i: substr(CAST(CAST(unhex(sha1(html)) AS BIT) AS VARCHAR), i + 1, 1)), 'string_agg', '') AS bits
+              FROM p JOIN f USING (html))
+        SELECT page_id, payload_bytes,
+               list_aggregate(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + CAST(list_sum(list_transform(range(0, 5), lambda j: CAST(substr(bits, k * 5 + j + 1, 1) AS INTEGER) * (16 >> j))) AS INTEGER), 1)), 'string_agg', '') AS payload_digest,
+               CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first != page_id THEN first END AS refers_to
+        FROM b""",
 }
