@@ -52,7 +52,8 @@ def _union(parts: list[DataFrame], like: DataFrame) -> DataFrame:
 
 def term_counts(docs: DataFrame, terms: DataFrame, terms_a_pass: int = TERMS_A_PASS) -> DataFrame:
     """(term, n): occurrences in the corpus of each term; added up before the shuffle."""
-    tokens = docs.select(F.explode(words("text")).alias("term"))
+    # Outer forms here and below: plain ones infer a filter on the array's size, for which the words would be found twice.
+    tokens = docs.select(F.explode_outer(words("text")).alias("term"))
     parts = [tokens.join(F.broadcast(b), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n")) for b in _blocks(terms, terms_a_pass)]
     return _union(parts, terms.select("term", F.lit(0).cast("long").alias("n")))
 
@@ -83,7 +84,7 @@ def postings(docs: DataFrame, places: DataFrame, window: int = 10, beside: bool
     With `beside` only postings next to a word that is also next to the term in an item: all that a phrase needs.
     """
     r = window - 1
-    tokens = docs.select("doc_id", C.row_key("doc_id", "text").alias("doc"), words("text").alias("_words")).select("doc_id", "doc", "_words", F.posexplode("_words").alias("pos", "term"))
+    tokens = docs.select("doc_id", C.row_key("doc_id", "text").alias("doc"), words("text").alias("_words")).select("doc_id", "doc", "_words", F.posexplode_outer("_words").alias("pos", "term"))
     near = F.expr(f"slice(_words, greatest(pos - {r}, 0) + 1, least(pos, {r}) + 1 + {r})").alias("near")
     terms = places.select(F.col("term").alias("_term"), "w", "before", "after").distinct() if beside else places.select(F.col("term").alias("_term")).distinct()
     on = F.expr("term = _term AND (w = 1 OR get(_words, pos - 1) = before OR get(_words, pos + 1) = after)") if beside else F.expr("term = _term")
