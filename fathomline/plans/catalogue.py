@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fathomline.functions import ids, vectors, versions
-from fathomline.functions.text import is_page_content, is_page_name, not_blank, stripped, tokens
+from fathomline.functions.text import EXCLUDED_CONTENT, EXCLUDED_NAMES, PAGE_CONTENT, PAGE_PATHS, is_page_content, is_page_name, not_blank, stripped, tokens
 from fathomline.operators import catalog, elements, extract, hygiene, index, progress, render, search
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -540,8 +540,8 @@ def page_content(spark, sf_dir):
 
 
 @query(
-    f"""SELECT page_id, ends_with(path, '.html') AND NOT {_any("lower(path)", (".css", ".js", ".png", ".jpg", ".jpeg", ".gif", ".ico", ".woff", ".woff2", ".ttf", ".eot", "license", "copyright", "apache", "sil", "boost", "libogg", "jsoncons", "boutros", "xiph", "v8update", "style", "script"))}
-        AND {_any("lower(path)", ("global-methods", "global-properties", "objects", "enums", "constructors", "methods", "properties", "events", "functions", "types"))} AS is_page
+    f"""SELECT page_id, ends_with(path, '.html') AND NOT {_any("lower(path)", EXCLUDED_NAMES)}
+        AND {_any("lower(path)", PAGE_PATHS)} AS is_page
     FROM (SELECT page_id, {PATH_SQL} AS path FROM pages)"""
 )
 def filename_filter(spark, sf_dir):
@@ -549,8 +549,8 @@ def filename_filter(spark, sf_dir):
 
 
 @query(
-    f"""SELECT doc_id, NOT {_any("lower(text)", ("apache license", "sil open font license", "boost software license", "copyright", "license", "font software", "redistribution", "permission is hereby granted", "libogg", "jsoncons", "boutros international", "xiph.org foundation"))}
-        AND {_any("lower(text)", ("синтаксис", "параметры", "возвращаемое значение", "описание", "пример", "методы", "свойства", "события", "перечисление", "объект", "функция", "syntax", "parameters", "return value", "description", "example", "methods", "properties", "events", "enumeration", "object", "function"))} AS is_help FROM documents"""
+    f"""SELECT doc_id, NOT {_any("lower(text)", EXCLUDED_CONTENT)}
+        AND {_any("lower(text)", PAGE_CONTENT)} AS is_help FROM documents"""
 )
 def content_filter(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", is_page_content("text").alias("is_help"))
