@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import decontaminate, fingerprints, html_extract, jaccard_join, line_dedup, mixing, pii, quality, secret_scan, warc
+from . import decontaminate, fingerprints, html_extract, jaccard_join, line_dedup, mixing, passages, pii, quality, secret_scan, warc
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(C.table(spark, sf_dir, "documents"))
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.report(C.table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(C.table(spark, sf_dir, "pages"))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op5_mixing": op5_mixing,
     "op6_line_dedup": op6_line_dedup,
+    "op6_passages": op6_passages,
     "op7_warc": op7_warc,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_html_extract": op9_html_extract,
