@@ -186,3 +186,55 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10, most_hit
     judged = contamination(docs, items, window).filter(F.col("n_hit") > most_hit * F.col("n_words")).select(F.col("doc_id").alias("_id"), F.col("doc").alias("_doc")).distinct()
     keyed = docs.select(C.packed(docs), C.row_key("doc_id", "text").alias("_key"))
     return keyed.join(judged, (keyed["_key"] == judged["_doc"]) & F.col("_row.doc_id").eqNullSafe(F.col("_id")), "left_anti").select(*C.unpacked(docs))
+
+
+def near(docs: DataFrame, items: DataFrame, window: int = 10, share: float = 0.8, terms_a_pass: int = TERMS_A_PASS // 4) -> DataFrame:
+    """Per row of docs: doc_id, n_near_items, near_items_sha256, near (and doc, the key of the row's contents).
+
+    An item is near if some window of its words becomes a stretch of the document by at most window - share * window changes: words
+    replaced, put in or left out. Exact phrases are near, too. No count of a word decides: a window of e changes at most, parted in e + 1,
+    has a part without one, so all parts' words in a row are looked up, and the words either side of each found one are compared.
+    Nulls, empty texts, repeated ids and rows are as in contamination(). Windows may have up to 200 words.
+    """
+    own = C.stored(_items(items, window).withColumn("e", F.expr(f"cast(floor((1 - {share}D) * w + 1e-9D) AS int)")).withColumn("g", F.expr("w div (e + 1)").cast("int")), "near-items")
+    texts = docs.select("doc_id", C.row_key("doc_id", "text").alias("doc"), words("text").alias("_words"))
+    parts = []
+    for g in sorted(r.g for r in own.select("g").distinct().collect()):
+        row = lambda c, at, g=g: F.xxhash64(*[F.expr(f"get({c}, {at} + {k})") for k in range(g)])
+        grams = own.filter(F.col("g") == g).select("item_id", "w", "e", "words", F.explode(F.expr(f"sequence(0, size(words) - {g})")).alias("j"))
+        grams = grams.select(
+            "item_id", "w", "e", row("words", "j").alias("term"), F.expr(f"reverse(slice(words, greatest(j - w + {g}, 0) + 1, least(j, w - {g})))").alias("before"), F.expr(f"slice(words, j + {g + 1}, w - {g})").alias("after")
+        )
+        grams = C.stored(grams.distinct(), "near-grams")
+        spots = texts.select("doc_id", "doc", "_words", F.explode_outer(F.expr(f"IF(size(_words) >= {g}, sequence(0, size(_words) - {g}), NULL)")).alias("pos"))
+        spots = spots.select("doc_id", "doc", "_words", "pos", row("_words", "pos").alias("term"))
+        for b in _blocks(grams.select("term").distinct(), terms_a_pass):
+            parts.append(
+                spots.join(F.broadcast(grams.join(b, "term", "left_semi")), "term").select(
+                    "doc_id", "doc", "item_id", "w", "e", F.lit(g).alias("g"), "before", "after",
+                    F.expr(f"reverse(slice(_words, greatest(pos - w + {g} - e, 0) + 1, least(pos, w - {g} + e)))").alias("left"), F.expr(f"slice(_words, pos + {g + 1}, w - {g} + e)").alias("right"),
+                )
+            )
+    # A word is the letter of its place among the item's, so that words are compared by the distance of strings.
+    letters = lambda of, among: f"array_join(transform({of}, x -> char(33 + array_position({among}, x))), '')"
+    # For each number of the item's words: the least changes to what begins there.
+    costs = lambda a, b: f"""transform(sequence(0, length({a})), n -> IF(n - e > length({b}), e + 1,
+        array_min(transform(sequence(greatest(n - e, 0), least(n + e, length({b}))), k -> levenshtein(left({a}, n), left({b}, k))))))"""
+    if parts:
+        cands = reduce(DataFrame.unionByName, parts)
+        cands = cands.select("doc_id", "doc", "item_id", "w", "e", "g", *[F.expr(letters(of, among)).alias(name) for of, among, name in (("before", "before", "a"), ("left", "before", "b"), ("after", "after", "c"), ("right", "after", "d"))])
+        cands = C.stored(cands, "near-candidates").withColumn("l", F.expr(costs("a", "b"))).withColumn("r", F.expr(costs("c", "d")))
+        found = cands.filter(F.expr("exists(transform(l, (x, i) -> x + coalesce(get(r, w - g - i), e + 1)), x -> x <= e)"))
+        found = found.select("doc_id", "doc", "item_id").distinct()
+    else:
+        found = texts.limit(0).select("doc_id", "doc", F.lit(None).cast("long").alias("item_id"))
+    hits = found.groupBy("doc_id", "doc").agg(F.array_sort(F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit("")))).alias("ids"))
+    hits = hits.select(F.col("doc_id").alias("_id"), F.col("doc").alias("_doc"), "ids")
+    rows = docs.select("doc_id", C.row_key("doc_id", "text").alias("doc"))
+    return rows.join(hits, (rows["doc"] == hits["_doc"]) & rows["doc_id"].eqNullSafe(F.col("_id")), "left").select(
+        "doc_id",
+        F.when(F.col("ids").isNull(), 0).otherwise(F.size("ids")).cast("long").alias("n_near_items"),
+        F.sha2(F.coalesce(F.array_join("ids", ","), F.lit("")), 256).alias("near_items_sha256"),
+        F.col("ids").isNotNull().alias("near"),
+        "doc",
+    )

@@ -16,6 +16,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark")).drop("doc")
 
 
+def op2_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.near(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark")).drop("doc")
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_pairs(C.table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_decontaminate": op2_decontaminate,
+    "op2_near": op2_near,
     "op3_fingerprints": op3_fingerprints,
     "op4_secret_scan": op4_secret_scan,
     "op5_mixing": op5_mixing,
