@@ -2,7 +2,7 @@
 
 A page is parsed into lines (the text of its blocks). Where the page marks its article (<article>, <main>, role=main), the
 article's lines are the candidates; elements that name themselves as menus, notices, adverts, forms, comments and the like
-are left out. A page that marks nothing is differenced with the page of its host whose URL is nearest: lines are aligned by
+are left out. A page that marks nothing is differenced with a page of its host whose URL is near: lines are aligned by
 a longest common subsequence and shared ones, the template, go.
 
 Why not by differencing alone: the template's lines here differ on every page of a host, and copies of an article share all
@@ -14,6 +14,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -45,6 +46,9 @@ CLOSED_BY = {  # a start tag -> open elements that it ends, up to the nearest co
 }
 SCOPES = frozenset("article aside body blockquote div fieldset figure footer form header html li main nav ol section table td th ul dl".split())
 
+#: Places in the order of URLs, from a page, of those that it may be differenced with.
+NEAREST = (1, -1, 2, -2)
+
 TAG = re.compile(r"<(?:!--(?:>|->|(.*?)(?:--!?>|\Z))|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|([!?/][^>]*)(?:>|\Z))", re.S)
 ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -187,20 +191,18 @@ def shared(a: list[str], b: list[str]) -> list[bool]:
     return [True] * lead + hit + [True] * tail
 
 
-def without_template(lines: list[str], other: list[str], most: float = 0.5) -> list[str]:
-    """lines less those shared with the other page; all of them where these are over `most` of the characters (a copy, not a template)."""
-    gone = shared(lines, other)
-    if sum(len(s) for s, g in zip(lines, gone, strict=True) if g) > most * sum(map(len, lines)):
-        return lines
-    return [s for s, g in zip(lines, gone, strict=True) if not g]
+def without_template(lines: list[str], others: list[list[str]]) -> list[str]:
+    """lines less those shared with the other page that shares the fewest characters (ties: the first), however many; all if there is none."""
+    found = [[s for s, g in zip(lines, shared(lines, other), strict=True) if not g] for other in others]
+    return max(found, key=lambda kept: sum(map(len, kept)), default=lines)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Per row of pages: page_id, url, text (blocks joined by a line feed, empty if none), n_chars.
 
-    Null html has no text. A null or odd URL has the host and path that a simple split gives. Nearest by URL: of the pages of
-    the host that mark no article, in the order of path, url and page, the one before or after with the longer common path prefix
-    (ties: the one before); equal for every partitioning. Repeated rows come back as often. Other columns don't matter.
+    Null html has no text. A null or odd URL has the host and path that a simple split gives. Pages of a host
+    that mark no article are put in the order of path, url and page, one of each set of lines. Of the two before and the two after, the one that shares the fewest
+    characters is the other page; what is shared goes, however much it is. Repeated rows come back as often. Other columns don't matter.
     """
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -218,21 +220,26 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def differenced(rest: DataFrame) -> DataFrame:
-    """(page_id, url, lines) less what each page shares with its nearest one."""
+    """(page_id, url, lines) less what each page shares with one near it."""
     host = F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)", 1))
     path = F.regexp_extract("url", r"^(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1)
-    ids = rest.select("page", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"), "url").dropDuplicates(["page"])
-    at = C.stored(ranked(ids, "host", [F.asc("path"), F.asc_nulls_first("url"), F.asc("page")]), "url-order")
-    common = lambda c: F.expr(f"length(regexp_extract(array_join(zip_with(split(path, ''), split({c}, ''), (a, b) -> IF(a <=> b, '1', '0')), ''), '^1*', 0))")
-    beside = lambda k, name: at.select("host", (F.col("rank") + k).alias("rank"), F.col("page").alias(name), F.col("path").alias(f"{name}_path"))
-    near = at.join(beside(1, "prior"), ["host", "rank"], "left").join(beside(-1, "later"), ["host", "rank"], "left")
-    near = near.select("page", F.when(F.col("later").isNull() | (common("prior_path") >= common("later_path")), F.col("prior")).otherwise(F.col("later")).alias("partner"))
-    one = rest.select("page", "lines").dropDuplicates(["page"])
-    pairs = rest.join(near, "page").join(one.select(F.col("page").alias("partner"), F.col("lines").alias("other")), "partner", "left").select("page_id", "url", "lines", "other")
+    ids = rest.select("page", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"), "url", F.xxhash64(F.array_sort(F.array_distinct("lines"))).alias("set")).dropDuplicates(["page"])
+    # One page of each set of lines a host takes part in the order: a copy is never a partner.
+    each = C.stored(ids, "pages-of-hosts")
+    first = each.groupBy("host", "set").agg(F.min(F.struct("path", "url", "page")).alias("f")).select("host", "set", "f.*")
+    at = C.stored(ranked(first, "host", [F.asc("path"), F.asc_nulls_first("url"), F.asc("page")]), "url-order").select("host", "set", "rank", "page")
+    beside = lambda k: at.select("host", (F.col("rank") + k).alias("rank"), F.col("page").alias("partner"), F.lit(NEAREST.index(k)).alias("nth"))
+    partners = reduce(DataFrame.unionByName, [at.select("host", "set", "rank").join(beside(k), ["host", "rank"]) for k in NEAREST])
+    one = rest.select(F.col("page").alias("partner"), F.col("lines").alias("other")).dropDuplicates(["partner"])
+    partners = partners.join(one, "partner").groupBy("host", "set").agg(F.array_sort(F.collect_list(F.struct("nth", "other"))).alias("o"))
+    # Copies under one URL keep what they have.
+    again = each.groupBy("url", "set").agg(F.count("*").alias("n")).filter("n > 1 AND url IS NOT NULL").select("url", "set", F.lit(True).alias("again"))
+    of = each.join(again, ["url", "set"], "left").filter("again IS NULL").select("page", "host", "set").join(partners, ["host", "set"]).select("page", F.col("o.other").alias("others"))
+    pairs = rest.join(of, "page", "left").select("page_id", "url", "lines", "others")
 
     def less(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            kept = [list(a) if b is None else without_template(list(a), list(b)) for a, b in zip(batch["lines"], batch["other"], strict=True)]
+            kept = [list(a) if b is None else without_template(list(a), [list(x) for x in b]) for a, b in zip(batch["lines"], batch["others"], strict=True)]
             yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "lines": kept})
 
     return pairs.mapInPandas(less, "page_id long, url string, lines array<string>")
