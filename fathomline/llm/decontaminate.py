@@ -3,10 +3,11 @@
 For each window of test words the two rarest words (by their counts in the whole corpus) are anchors. The index stores
 the postings of the anchors' terms: document, position and the words around it. Postings are intersected after their
 place in the test item is taken off (all anchors of a copied passage fall on one diagonal); what is left, next to a word
-that is next to it in the item, is compared word by word, for exact phrases, or by share of words near by, for proximity matches. All of it is DataFrame expressions.
+that is next to it in the item, is compared word by word, for exact phrases. Proximity matches (near()) are looked up by runs of words
+that no change of the words allowed can break, as a changed word may be the rarest. All of it is DataFrame expressions.
 
-Test words are broadcast in blocks of a bounded number of terms: a larger test set takes more passes over the corpus, not
-more memory.
+What is broadcast goes out in blocks of a bounded number of rows: a larger test set, or a term with more places in it, takes
+more passes, not more memory.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: A word, after A-Z are lower-cased.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A word, after A-Z are lower-cased: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ said by what it has, which is found several times faster.
+WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Terms broadcast at once, a few MB.
+#: Rows (terms, or places of terms in the test set) broadcast at once, a few MB.
 TERMS_A_PASS = 200_000
 
 
@@ -41,9 +42,10 @@ def _items(items: DataFrame, window: int) -> DataFrame:
     return d.withColumn("w", F.least(F.lit(window), F.size("words"))).dropDuplicates(["item_id", "item"])
 
 
-def _blocks(terms: DataFrame, terms_a_pass: int) -> list[DataFrame]:
-    n = -(-terms.count() // terms_a_pass)
-    return [terms.filter(F.pmod(F.xxhash64("term"), F.lit(n)) == k) if n > 1 else terms for k in range(n)]
+def _blocks(rows: DataFrame, terms_a_pass: int, by: tuple[str, ...] = ("term",)) -> list[DataFrame]:
+    """rows in blocks of about terms_a_pass each, by a hash of `by`."""
+    n = -(-rows.count() // terms_a_pass)
+    return [rows.filter(F.pmod(F.xxhash64(*by), F.lit(n)) == k) if n > 1 else rows for k in range(n)]
 
 
 def _union(parts: list[DataFrame], like: DataFrame) -> DataFrame:
@@ -89,10 +91,12 @@ def postings(docs: DataFrame, places: DataFrame, window: int = 10, beside: bool
     terms = places.select(F.col("term").alias("_term"), "w", "before", "after").distinct() if beside else places.select(F.col("term").alias("_term")).distinct()
     on = F.expr("term = _term AND (w = 1 OR get(_words, pos - 1) = before OR get(_words, pos + 1) = after)") if beside else F.expr("term = _term")
     parts = [
-        tokens.join(F.broadcast(terms.join(b, F.col("_term") == b["term"], "left_semi")), on, "left_semi").select("doc_id", "doc", "term", "pos", F.least("pos", F.lit(r)).alias("left"), near)
-        for b in _blocks(places.select("term").distinct(), terms_a_pass)
+        tokens.join(F.broadcast(b), on, "left_semi").select("doc_id", "doc", "term", "pos", F.least("pos", F.lit(r)).alias("left"), near)
+        for b in _blocks(C.stored(terms, "anchor-terms"), terms_a_pass, tuple(terms.columns))
     ]
-    return _union(parts, tokens.select("doc_id", "doc", "term", "pos", F.lit(0).alias("left"), F.col("_words").alias("near")))
+    found = _union(parts, tokens.select("doc_id", "doc", "term", "pos", F.lit(0).alias("left"), F.col("_words").alias("near")))
+    # One posting may fit terms of several blocks.
+    return found.dropDuplicates(["doc_id", "doc", "pos"]) if len(parts) > 1 else found
 
 
 def build(docs: DataFrame, items: DataFrame, window: int = 10, beside: bool = True, terms_a_pass: int = TERMS_A_PASS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -105,9 +109,9 @@ def build(docs: DataFrame, items: DataFrame, window: int = 10, beside: bool = Tr
 
 
 def _placed(places: DataFrame, index: DataFrame, terms_a_pass: int, beside: bool = False) -> DataFrame:
-    """Each posting at each place its term has as an anchor, with `beside` where a word next to it is the same; items go out in blocks, as terms do."""
+    """Each posting at each place its term has as an anchor, with `beside` where a word next to it is the same; places go out in blocks."""
     same = F.expr("w = 1 OR get(near, left - 1) = before OR get(near, left + 1) = after") if beside else F.lit(True)
-    parts = [index.join(F.broadcast(places.join(b, "term", "left_semi")), "term") for b in _blocks(places.select("term").distinct(), terms_a_pass)]
+    parts = [index.join(F.broadcast(b), "term") for b in _blocks(places, terms_a_pass, ("term", "item_id", "item", "j"))]
     return _union(parts, index.join(places, "term")).filter(same).drop("before", "after")
 
 
@@ -133,26 +137,6 @@ def phrases(own: DataFrame, places: DataFrame, index: DataFrame, terms_a_pass: i
     )
 
 
-def proximity(own: DataFrame, places: DataFrame, index: DataFrame, slop: int = 3, share: float = 0.8, terms_a_pass: int = TERMS_A_PASS) -> DataFrame:
-    """(doc_id, item_id, diagonal, n_near, w): looser matches, not needed for exact ones.
-
-    Two anchors of an item that are less than a window apart lie on diagonals at most `slop` apart (words were put in or left
-    out), and of the window's worth of item words around the first one at least `share` occur among the words near it.
-    """
-    at = _placed(places, index, terms_a_pass).withColumn("diagonal", F.col("pos") - F.col("j"))
-    # Diagonals within slop share one of two shifted buckets.
-    shifted = at.withColumn("bucket", F.explode(F.expr(f"array(floor(diagonal / {2 * slop + 2}) * 2, floor((diagonal + {slop + 1}) / {2 * slop + 2}) * 2 + 1)")))
-    lists = shifted.groupBy("doc_id", "doc", "item_id", "item", "w", "bucket").agg(F.collect_list(F.struct("j", "diagonal", "near")).alias("at"))
-    lists = lists.withColumn("at", F.expr(f"filter(at, a -> w = 1 OR exists(at, b -> b.j != a.j AND abs(b.j - a.j) < w AND abs(b.diagonal - a.diagonal) <= {slop}))"))
-    texts = own.select("item", F.col("item_id").alias("_id"), "words")
-    cands = lists.join(texts, (lists["item"] == texts["item"]) & lists["item_id"].eqNullSafe(F.col("_id"))).select("doc_id", "doc", "item_id", "w", "words", F.explode("at").alias("a"))
-    near = "size(array_intersect(slice(words, greatest(least(a.j - w div 2, size(words) - w), 0) + 1, w), a.near))"
-    some = "size(array_distinct(slice(words, greatest(least(a.j - w div 2, size(words) - w), 0) + 1, w)))"
-    return cands.filter(F.expr(f"{near} >= {share} * {some}")).groupBy("doc_id", "doc", "item_id", F.col("a.diagonal").alias("diagonal")).agg(
-        F.max(F.expr(near)).alias("n_near"), F.max("w").alias("w")
-    ).drop("doc")
-
-
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, terms_a_pass: int = TERMS_A_PASS) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (and doc, the key of the row's contents).
 
@@ -189,7 +173,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10, most_hit
 
 
 def near(docs: DataFrame, items: DataFrame, window: int = 10, share: float = 0.8, terms_a_pass: int = TERMS_A_PASS // 4) -> DataFrame:
-    """Per row of docs: doc_id, n_near_items, near_items_sha256, near (and doc, the key of the row's contents).
+    """Proximity matches. Per row of docs: doc_id, n_near_items, near_items_sha256, near (and doc, the key of the row's contents).
 
     An item is near if some window of its words becomes a stretch of the document by at most window - share * window changes: words
     replaced, put in or left out. Exact phrases are near, too. No count of a word decides: a window of e changes at most, parted in e + 1,
@@ -208,9 +192,9 @@ def near(docs: DataFrame, items: DataFrame, window: int = 10, share: float = 0.8
         grams = C.stored(grams.distinct(), "near-grams")
         spots = texts.select("doc_id", "doc", "_words", F.explode_outer(F.expr(f"IF(size(_words) >= {g}, sequence(0, size(_words) - {g}), NULL)")).alias("pos"))
         spots = spots.select("doc_id", "doc", "_words", "pos", row("_words", "pos").alias("term"))
-        for b in _blocks(grams.select("term").distinct(), terms_a_pass):
+        for b in _blocks(grams, terms_a_pass, tuple(grams.columns)):
             parts.append(
-                spots.join(F.broadcast(grams.join(b, "term", "left_semi")), "term").select(
+                spots.join(F.broadcast(b), "term").select(
                     "doc_id", "doc", "item_id", "w", "e", F.lit(g).alias("g"), "before", "after",
                     F.expr(f"reverse(slice(_words, greatest(pos - w + {g} - e, 0) + 1, least(pos, w - {g} + e)))").alias("left"), F.expr(f"slice(_words, pos + {g + 1}, w - {g} + e)").alias("right"),
                 )

@@ -55,12 +55,11 @@ def test_decontamination_of_random_texts(spark, terms_a_pass):
     assert found == brute_contamination(docs, items, 4)
 
 
-def test_proximity(spark):
-    item = "k l m n o p q r s t"
-    docs = plain(spark, [item, "k l m n o x p q r s t", "k t s l r m q n p o", "nothing of it"])
-    items = spark.createDataFrame([(0, item)], "item_id long, text string")
-    found = {r.doc_id for r in decontaminate.proximity(*decontaminate.build(docs, items, beside=False), slop=2).collect()}
-    assert {0, 1} <= found and 3 not in found
+def test_words_are_those_of_the_pattern(spark):
+    texts = ["".join(map(chr, range(0, 0x500))), "É\x7f\x80\u0085a\u2028😀B_\ufffd9", "Ⅷ ǅ İ ß", "", "A" * 300_000, "é " * 100_000, None]
+    low = str.maketrans(decontaminate.UPPER, decontaminate.LOWER)
+    for r in plain(spark, texts).select("doc_id", decontaminate.words("text").alias("w")).collect():
+        assert r.w == WORD.findall((texts[r.doc_id] or "").translate(low))
 
 
 def test_fingerprints(spark):
