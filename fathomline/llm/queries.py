@@ -135,13 +135,13 @@ ORACLES: dict[str, str] = {
     # A record a row: SQL can give what the archives read back have to say.
     "op7_warc": r"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
-        f AS (SELECT html, max(page_id) AS first FROM p GROUP BY html),
-        b AS (SELECT page_id, html, first, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+        f AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS first, row_number() OVER (PARTITION BY html ORDER BY page_id DESC NULLS LAST) AS n FROM p),
+        b AS (SELECT page_id, html, first, n, CAST(strlen(html) AS BIGINT) AS payload_bytes,
                      list_aggregate(list_transform(range(0, 160), lambda i: substr(CAST(CAST(unhex(sha1(html)) AS BIT) AS VARCHAR), i + 1, 1)), 'string_agg', '') AS bits
-              FROM p JOIN f USING (html))
+              FROM f)
         SELECT page_id, payload_bytes,
                list_aggregate(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
                    1 + CAST(list_sum(list_transform(range(0, 5), lambda j: CAST(substr(bits, k * 5 + j + 1, 1) AS INTEGER) * (16 >> j))) AS INTEGER), 1)), 'string_agg', '') AS payload_digest,
-               CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first != page_id THEN first END AS refers_to
+               CASE WHEN n = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN n > 1 THEN first END AS refers_to
         FROM b""",
 }

@@ -15,7 +15,8 @@ from fathomline.llm import common, html_extract, line_dedup, mixing, quality, wa
 from pyspark.sql import functions as F
 from tests.llm.helpers import none, odd, plain
 from tests.llm.test_dedup import brute_classes, brute_contamination
-from tests.oracle import TESTDATA
+from fathomline.llm.queries import ORACLES
+from tests.oracle import TESTDATA, rows_of, rows_of_sql
 
 SF = f"{TESTDATA}/sf0.001"
 
@@ -108,6 +109,34 @@ def test_warc(spark, tmp_path):
     assert {r.record_type for r in warc.archive(pages, least=100).collect()} == {"response"}
 
 
+def test_a_payload_is_stored_once(spark, tmp_path):
+    """Wholly equal rows: one response, the others revisit it; code and SQL agree on repeated ids; files follow bytes."""
+    rows = [(1, "a", "x" * 50)] * 3 + [(2, "b", "x" * 50), (2, "c", "x" * 50), (7, "d", "y"), (7, "d", "y"), (8, "e", None), (8, "f", "")] + [(100 + i, "z", f"{i} " * 200) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    warc.write(pages, str(tmp_path / "w"), bytes_a_file=4000)
+    assert len(list((tmp_path / "w" / "responses").glob("*.gz"))) > 2
+    stored = warc.read(spark, str(tmp_path / "w" / "responses"))
+    assert stored.count() == stored.select("sha256").distinct().count() == 43
+    back = warc.reconstruct(spark, str(tmp_path / "w")).collect()
+    assert collections.Counter((r.page_id, r.url, bytes(r.payload)) for r in back) == collections.Counter((i, u, (h or "").encode()) for i, u, h in rows)
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    assert rows_of(warc.archive(pages)) == rows_of_sql(ORACLES["op7_warc"], str(tmp_path))
+
+
+def test_records_of_other_writers():
+    import gzip
+
+    record = lambda head, block: f"WARC/1.0\r\n{head}\r\nContent-Length: {len(block)}\r\n\r\n{block}\r\n\r\n".encode()
+    members = [
+        record("WARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:1>", "software: x"), record("WARC-Type: request", "GET / HTTP/1.1\r\n\r\n"),
+        record("WARC-Type: response\r\nWARC-Record-ID: <urn:uuid:2>\r\nWARC-Target-URI: http://a/%25", "HTTP/1.1 200 OK\r\n\r\nbody"),
+        record("warc-type: resource\r\nWARC-Payload-Digest: md5:00", "plain"), record("WARC-Type: revisit\r\nWARC-Refers-To: <urn:uuid:2>", ""),
+    ]
+    found = list(warc.records(b"".join(map(gzip.compress, members))))
+    assert [(r[0], r[1], r[2], r[7], r[8]) for r in found] == [(None, "http://a/%25", "response", b"body", 4), (None, None, "response", b"plain", 5), (None, None, "revisit", None, None)]
+    assert found[0][4] == base64.b32encode(hashlib.sha1(b"body").digest()).decode()
+
+
 def test_warc_finds_changed_payloads(tmp_path):
     import gzip
 
