@@ -8,15 +8,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common as C
 
+#: Parts that the neighbours of a node are dealt to.
+SALTS = 32
+
 
 def _state(edges: DataFrame) -> tuple:
     r = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     return r[0], r[1]
 
 
+def _with_least(edges: DataFrame) -> DataFrame:
+    """edges (a, b) with m, the least b of a; a node's edges are dealt to many tasks, and what meets at a node is one number of each."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy("a", "salt").agg(F.min("b").alias("m"))
+    parts = parts.select("a", "salt", F.min("m").over(Window.partitionBy("a")).alias("m"))
+    return salted.join(parts, ["a", "salt"]).drop("salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a, b), any type with an order -> (node, root): each node that has an edge to another, the root being the least of its component.
 
@@ -27,10 +39,8 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(now)
     while state[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        large = _with_least(both).filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+        small = _with_least(large).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         then = C.stored(small.distinct(), "edges")
         found = _state(then)
         now, done, state = then, found == state, found

@@ -14,16 +14,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 from .components import components
-from .mixing import LEAST_ID
 
 WORDS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 80
-#: Nodes of a component that are compared in one block; larger components are cut.
-BLOCK = 1024
+#: Nodes of a component, and n-grams of theirs, that are compared in one block, on average; larger components are cut.
+BLOCK, GRAMS = 1024, 1 << 22
 #: Code points handled at once; hashes of that many n-grams at once.
 PIECE, ROWS = 1 << 19, 1 << 14
 
@@ -32,13 +31,20 @@ _PINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
-    """(bands, rows): the most rows a band with which a pair at the threshold shares a band with the recall's probability, within `most` hashes."""
-    best = (most, 1)
+    """(bands, rows): the most rows a band with which a pair at the threshold shares a band with the recall's probability, within `most` hashes.
+
+    A threshold so low that no number of bands within `most` reaches the recall is an error.
+    """
+    if threshold >= 1:
+        return 1, most
+    best = None
     for r in range(1, most + 1):
-        b = math.ceil(math.log(1 - recall) / math.log(1 - threshold**r)) if threshold < 1 else 1
+        b = math.ceil(math.log(1 - recall) / math.log(1 - threshold**r))
         if b * r > most:
             break
         best = (b, r)
+    if best is None:
+        raise ValueError(f"no bands of at most {most} hashes find pairs of similarity {threshold} with probability {recall}")
     return best
 
 
@@ -210,10 +216,15 @@ def _compare(threshold: float):
     return run
 
 
+def _own_id() -> Column:
+    """An id as a value that is equal to itself and has an order where it is null: null is least."""
+    return F.struct(F.col("doc_id").isNotNull().alias("given"), F.col("doc_id").alias("id")).alias("_sid")
+
+
 def classes(
     docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL, most_hashes: int = MOST_HASHES, block: int = BLOCK
 ) -> DataFrame:
-    """Per row of docs: doc_id, class_id, n_copies, n_text_links, n_links, doc (key of its contents).
+    """Per row of docs: doc_id, class_id, n_copies, n_text_links, n_links, doc (key of its contents), root (key of its class, where ids repeat).
 
     class_id: the least doc_id of the documents that links lead to, copies included; null is least. n_copies: other rows with the
     very text; n_text_links: different texts linked to its text; n_links: other rows linked, copies of either text included. Null counts as
@@ -221,7 +232,7 @@ def classes(
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(LEAST_ID)).alias("_sid"), C.row_key("doc_id", "text").alias("doc"), F.unhex(F.substring(F.sha2(text, 256), 1, 32)).alias("node"), text.alias("text"))
+    rows = docs.select("doc_id", _own_id(), C.row_key("doc_id", "text").alias("doc"), F.unhex(F.substring(F.sha2(text, 256), 1, 32)).alias("node"), text.alias("text"))
     heads = C.stored(rows.drop("text"), "heads")
     nodes = C.stored(heads.groupBy("node").agg(F.min("_sid").alias("_sid"), F.count("*").alias("copies")), "nodes")
 
@@ -234,14 +245,18 @@ def classes(
 
     # Their sets: one row of each node, found by its key, so copies don't meet in one task.
     chosen = near.join(nodes, "node")
-    texts = rows.select("node", "_sid", "text").join(chosen, ["node", "_sid"]).dropDuplicates(["node"])
+    same = lambda a, b: (a["node"] == b["node"]) & a["_sid.given"].eqNullSafe(b["_sid.given"]) & a["_sid.id"].eqNullSafe(b["_sid.id"])
+    texts = rows.select("node", "_sid", "text")
+    texts = texts.join(chosen, same(texts, chosen)).select(chosen["node"], "component", "copies", "text").dropDuplicates(["node"])
     sets = C.stored(_with_sets(texts, words), "sets")
-    size = near.groupBy("component").agg(F.count("*").alias("n")).withColumn("cuts", F.ceil(F.col("n") / block))
+    size = sets.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.size("grams")).alias("grams"))
+    size = size.select("component", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("grams") / GRAMS), F.lit(1)).alias("cuts"))
     placed = sets.join(size, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("cuts")))
     placed = placed.withColumn("_x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
     placed = placed.withColumn("i", F.least("block", "_x")).withColumn("j", F.greatest("block", "_x"))
     # Small components share groups of bounded size on average; each pair of blocks of a cut one is a group.
-    bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), near.count() // (2 * block) + 1)
+    held = sets.agg(F.count("*").alias("n"), F.sum(F.size("grams")).alias("grams")).first()
+    bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), held["n"] // (2 * block) + 1, (held["grams"] or 0) // GRAMS + 1)
     group = F.when(F.col("cuts") == 1, F.pmod(F.xxhash64("component"), F.lit(bins))).otherwise(F.xxhash64("component", "i", "j"))
     found = C.stored(
         placed.select("component", "i", "j", "block", "node", "copies", "grams", group.alias("group")).groupBy("group").applyInPandas(_compare(threshold), FOUND), "links"
@@ -252,22 +267,23 @@ def classes(
     roots = components(found.filter("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = named.groupBy("root").agg(F.min("_sid").alias("first"))
-    per_node = named.join(first, "root").join(links, "node", "left").select("node", "first", "copies", F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("docs", F.lit(0)).alias("docs"))
-    has_null = F.when(F.col("first") != LEAST_ID, F.col("first"))
+    per_node = named.join(first, "root").join(links, "node", "left").select("node", "root", "first", "copies", F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("docs", F.lit(0)).alias("docs"))
     return heads.join(per_node, "node").select(
         "doc_id",
-        has_null.alias("class_id"),
+        F.col("first.id").alias("class_id"),
         (F.col("copies") - 1).alias("n_copies"),
         F.col("texts").alias("n_text_links"),
         (F.col("docs") + F.col("copies") - 1).alias("n_links"),
         "doc",
+        "root",
     )
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs that a class keeps: one of those with its least doc_id, with all their columns."""
     found = classes(docs, **how).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    # Rows of one id in one class: the one of the least contents; equal rows: one of them.
-    kept = found.groupBy("class_id").agg(F.min("doc").alias("_doc")).select(F.coalesce("class_id", F.lit(LEAST_ID)).alias("_sid"), "_doc")
-    keyed = docs.select(C.packed(docs), F.coalesce("doc_id", F.lit(LEAST_ID)).alias("_sid"), C.row_key("doc_id", "text").alias("_doc"))
-    return keyed.join(kept, ["_sid", "_doc"]).dropDuplicates(["_sid", "_doc"]).select(*C.unpacked(docs))
+    # Rows of one id in one class: the one of the least contents; equal rows: one of them. Keys tell a null id from all others.
+    kept = found.groupBy("root").agg(F.min("doc").alias("_of"), F.min("doc_id").alias("_id"))
+    keyed = docs.select(C.packed(docs), F.col("doc_id").alias("_sid"), C.row_key("doc_id", "text").alias("_doc"))
+    kept = keyed.join(kept, (F.col("_doc") == F.col("_of")) & F.col("_sid").eqNullSafe(F.col("_id")))
+    return kept.dropDuplicates(["_sid", "_doc"]).select(*C.unpacked(docs))

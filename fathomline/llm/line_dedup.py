@@ -2,8 +2,8 @@
 
 Each three consecutive lines are hashed (128 bits). A window that an earlier document, or an earlier place of its own,
 already has is a later occurrence; the lines that later occurrences cover are removed. Nothing is gathered by window: the
-first occurrence is a minimum, taken before and after the shuffle, so a window that a third of all documents has costs no
-more than another.
+first occurrence is a minimum, taken before and after the shuffle, and is told to its later occurrences in salted parts, so a window
+that a third of all documents has goes to many tasks.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from . import common as C
 from .mixing import LEAST_ID
 
 LINES = 3
+#: Parts that the occurrences of a window are dealt to.
+SALTS = 32
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -39,9 +41,12 @@ def later(docs: DataFrame, lines: int = LINES) -> DataFrame:
 
     Before: in a document of a lesser doc_id (null is least; equal ids go by contents), or further up in the same one.
     """
-    every = windows(docs, lines)
-    firsts = every.groupBy("h1", "h2").agg(F.min(F.struct("_sid", "_doc", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    again = every.join(firsts, ["h1", "h2"]).filter(F.struct("_sid", "_doc", "at") != F.col("first"))
+    every = windows(docs, lines).withColumn("salt", F.pmod("_doc", F.lit(SALTS)).cast("int"))
+    parts = every.groupBy("h1", "h2", "salt").agg(F.min(F.struct("_sid", "_doc", "at")).alias("first"), F.count("*").alias("n"))
+    # At most SALTS rows a window.
+    whole = Window.partitionBy("h1", "h2")
+    firsts = parts.select("h1", "h2", "salt", F.min("first").over(whole).alias("first"), F.sum("n").over(whole).alias("n")).filter("n > 1").drop("n")
+    again = every.join(firsts, ["h1", "h2", "salt"]).filter(F.struct("_sid", "_doc", "at") != F.col("first"))
     return again.groupBy("_sid", "_doc").agg(F.collect_set("at").alias("starts"))
 
 

@@ -45,7 +45,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.classes(C.table(spark, sf_dir, "documents")).drop("doc")
+    return jaccard_join.classes(C.table(spark, sf_dir, "documents")).drop("doc", "root")
 
 
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,6 +148,25 @@ def test_jaccard_join(spark, block):
     assert found == brute_classes(texts)
 
 
+def test_ids_at_the_edge(spark):
+    """A null id and the least id are two ids."""
+    docs = spark.createDataFrame([(1, "a b c"), (-(2**63), "a b c"), (2, "d"), (None, "d"), (None, "e"), (-(2**63), "e")], "doc_id long, text string")
+    found = {(r.doc_id, r.class_id) for r in jaccard_join.classes(docs).collect()}
+    assert found == {(1, -(2**63)), (-(2**63), -(2**63)), (2, None), (None, None), (-(2**63), None)}
+    assert {(r.doc_id, r.text) for r in jaccard_join.one_of_each(docs).collect()} == {(-(2**63), "a b c"), (None, "d"), (None, "e")}
+
+
+def test_bands_refuse_a_recall_out_of_reach():
+    with pytest.raises(ValueError, match="probability"):
+        jaccard_join.bands(0.05)
+
+
+def test_a_window_that_all_documents_have(spark):
+    docs = plain(spark, ["top\nmiddle\nend\nown %d" % i for i in range(200)])
+    found = {r.doc_id: r.text for r in line_dedup.deduped(docs).collect()}
+    assert found == {0: "top\nmiddle\nend\nown 0"} | {i: "own %d" % i for i in range(1, 200)}
+
+
 def test_bands_reach_the_recall():
     for t in (0.5, 0.8, 0.95):
         b, r = jaccard_join.bands(t)
