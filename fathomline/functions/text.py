@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-TOKEN = r"[\p{L}\p{N}_]+"
+#: Letters, numbers and _; the usual ones first, as they are tested in this order.
+TOKEN = r"[a-z0-9_\p{L}\p{N}]+"
 
 # Parts of names of files that aren't pages.
 EXCLUDED_NAMES = (
@@ -40,10 +41,11 @@ def stop_words(spark: SparkSession, language: str = "russian") -> list[str]:
     return list(StopWordsRemover.loadDefaultStopWords(language))
 
 
-def tokens(text: str | Column, stops: list[str] | None = None) -> Column:
-    """Lower-cased runs of letters, numbers and _; without stop-words; empty for null."""
+def tokens(text: str | Column, stops: list[str] | None = None, stem=None) -> Column:
+    """Lower-cased runs of letters, numbers and _; without stop-words; stemmed if a stemmer (of one word) is given; empty for null."""
     found = F.regexp_extract_all(F.lower(F.coalesce(col(text), F.lit(""))), F.lit(TOKEN), F.lit(0))
-    return F.filter(found, lambda t: ~t.isin(stops)) if stops else found
+    found = F.filter(found, lambda t: ~t.isin(stops)) if stops else found
+    return stemmed(found, stem) if stem else found
 
 
 def any_of(text: Column, parts: tuple[str, ...]) -> Column:

@@ -5,7 +5,7 @@ All are aggregations with partial ones before the shuffle; statistics of parts a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,14 +14,14 @@ from fathomline.functions.text import tokens
 K1 = 1.5
 
 
-def token_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", by: list[str] | None = None, stops: list[str] | None = None) -> DataFrame:
+def token_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", by: list[str] | None = None, stops: list[str] | None = None, stem=None) -> DataFrame:
     """(by..., id, term): one row a token."""
-    return docs.select(*(by or []), id_col, F.explode_outer(tokens(text, stops)).alias("term")).filter("term IS NOT NULL")
+    return docs.select(*(by or []), id_col, F.explode_outer(tokens(text, stops, stem)).alias("term")).filter("term IS NOT NULL")
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text: str = "text", by: list[str] | None = None, stops: list[str] | None = None) -> DataFrame:
+def postings(docs: DataFrame, id_col: str = "doc_id", text: str = "text", by: list[str] | None = None, stops: list[str] | None = None, stem=None) -> DataFrame:
     """(by..., id, term, tf). Counted inside each document's row, so nothing is shuffled."""
-    ts = F.array_sort(tokens(text, stops))
+    ts = F.array_sort(tokens(text, stops, stem))
     # Runs of a sorted array: a term's count is the distance between its first places and the next term's.
     d = docs.select(*(by or []), id_col, ts.alias("_t")).withColumn(
         "_p", F.expr("filter(transform(_t, (t, i) -> IF(i = 0 OR t != _t[i - 1], named_struct('term', t, 'at', i), NULL)), x -> x IS NOT NULL)")
@@ -42,9 +42,9 @@ def merged(parts: DataFrame) -> DataFrame:
     return parts.groupBy("term").agg(F.sum("df").alias("df"))
 
 
-def corpus_stats(docs: DataFrame, text: str = "text", by: list[str] | None = None, stops: list[str] | None = None) -> DataFrame:
+def corpus_stats(docs: DataFrame, text: str = "text", by: list[str] | None = None, stops: list[str] | None = None, stem=None) -> DataFrame:
     """(by..., total_docs, avg_doc_length); one row without `by`."""
-    n = F.size(tokens(text, stops))
+    n = F.size(tokens(text, stops, stem))
     return docs.groupBy(*(by or [])).agg(F.count("*").alias("total_docs"), F.avg(n).alias("avg_doc_length"))
 
 
@@ -75,13 +75,34 @@ def weight(k1: float = K1, b: float = 0.0) -> Column:
     return idf() * (tf * F.lit(k1 + 1)) / (tf + length)
 
 
-def weights(docs: DataFrame, id_col: str = "doc_id", text: str = "text", by: list[str] | None = None, stops: list[str] | None = None, b: float = 0.0) -> DataFrame:
+def weights(docs: DataFrame, id_col: str = "doc_id", text: str = "text", by: list[str] | None = None, stops: list[str] | None = None, stem=None, b: float = 0.0) -> DataFrame:
     """(by..., id, term, weight) of all documents; statistics are those of each value of `by`."""
-    posts = postings(docs, id_col, text, by, stops)
-    stats = term_stats(posts, by)
-    totals = corpus_stats(docs, text, by, stops)
+    posts = postings(docs, id_col, text, by, stops, stem)
+    return weighted(posts, term_stats(posts, by), corpus_stats(docs, text, by, stops, stem), id_col, by, b)
+
+
+def weighted(posts: DataFrame, stats: DataFrame, totals: DataFrame, id_col: str = "doc_id", by: list[str] | None = None, b: float = 0.0) -> DataFrame:
+    """(by..., id, term, weight) of postings by statistics at hand; terms that the statistics don't have are left out. totals: one row a value of `by`."""
     d = posts.join(stats, [*(by or []), "term"])
-    d = d.join(F.broadcast(totals), by) if by else d.crossJoin(F.broadcast(totals))
+    d = d.join(totals, by) if by else d.crossJoin(F.broadcast(totals))
     if b:
         d = d.withColumn("doc_length", F.sum("tf").over(Window.partitionBy(*(by or []), id_col)))
     return d.withColumn("weight", weight(b=b)).filter("weight > 0").select(*(by or []), id_col, "term", "weight")
+
+
+def save(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", by: list[str] | None = None, stops: list[str] | None = None, stem=None) -> None:
+    """Build the statistics of a corpus and keep them: path/terms (by..., term, df) and path/totals (by..., total_docs, avg_doc_length).
+
+    A corpus without documents is refused, as nothing could be weighed by it; what is at the path is replaced.
+    """
+    totals = corpus_stats(docs, text, by, stops, stem)
+    first = totals.agg(F.sum("total_docs")).first()
+    if not first[0]:
+        raise ValueError("a corpus without documents has no statistics")
+    term_stats(postings(docs, id_col, text, by, stops, stem), by).write.mode("overwrite").parquet(f"{path}/terms")
+    totals.write.mode("overwrite").parquet(f"{path}/totals")
+
+
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The statistics that `save` kept: (terms, totals)."""
+    return spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/totals")

@@ -1,25 +1,33 @@
 """Sparse, dense and rank-fused top-k search of many queries at once.
 
-Queries are a stated, bounded set: they are broadcast in blocks of bounded size against all rows, and the rank limit goes
-before the shuffle (Spark's window group limit), so a query sends at most k rows a task.
+Queries are a stated, bounded set: they go out in blocks of bounded size against all rows, rows are scored block by block in numpy (Arrow
+batches), and the rank limit goes before the shuffle, so a query sends at most k rows a task.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
-from fathomline.functions import vectors
 from fathomline.functions.text import tokens
+from fathomline.sources.shared import shared_path
 
 from . import index
 
 RRF_K, SPARSE_BOOST = 60, 0.5
 #: Queries broadcast at once.
 QUERIES_A_PASS = 2000
+#: Terms of queries that are looked for before tokens leave the JVM; more are looked for behind it.
+TERMS_IN_PLAN = 500
 
 
 def top(scored: DataFrame, k: int, by: str = "query_id", id_col: str = "doc_id", tie: list[Column] | None = None) -> DataFrame:
@@ -28,35 +36,164 @@ def top(scored: DataFrame, k: int, by: str = "query_id", id_col: str = "doc_id",
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def query_weights(queries: DataFrame, docs: DataFrame, id_col: str = "doc_id", text: str = "text", stops: list[str] | None = None, query_text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(query_id, term, weight) of queries and (id, term, weight) of documents, of the queries' terms only.
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best: greatest score at six places, then least id; scores that aren't finite are left out."""
+    at = np.flatnonzero(np.isfinite(scores))
+    s = np.floor(scores[at] * 1e6 + 0.5)
+    if len(at) > k:
+        bar = np.partition(s, len(s) - k)[len(s) - k]
+        few = np.flatnonzero(s >= bar)
+        at, s = at[few], s[few]
+    return at[np.lexsort((ids[at], -s))][:k]
 
-    Tokens that no query has are dropped where they are read, so statistics and postings shuffle little.
-    """
-    asked = index.postings(queries, "query_id", query_text, stops=stops)
-    terms = asked.select("term").distinct()
-    posts = index.postings(docs, id_col, text, stops=stops).join(F.broadcast(terms), "term", "left_semi")
-    total = docs.agg(F.count("*").alias("total_docs"))
-    stats = index.term_stats(posts).crossJoin(F.broadcast(total))
-    weigh = lambda d: d.join(F.broadcast(stats), "term").withColumn("weight", index.weight()).filter("weight > 0")
-    return weigh(asked).select("query_id", "term", "weight"), weigh(posts).select(id_col, "term", "weight")
+
+class _Top:
+    """The k best of each of n queries, over blocks of rows."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.held = k, [None] * n
+
+    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        """scores: rows x queries; nan where there is none."""
+        for j in range(scores.shape[1]):
+            own, s = ids, scores[:, j]
+            if self.held[j] is not None:
+                own, s = np.concatenate((self.held[j][0], own)), np.concatenate((self.held[j][1], s))
+            at = _best(s, own, self.k)
+            self.held[j] = own[at], s[at]
+
+    def batch(self, names: list[str], id_type: pa.DataType) -> pa.RecordBatch:
+        some = [(np.full(len(h[0]), j, np.int32), *h) for j, h in enumerate(self.held) if h is not None]
+        q, ids, scores = (np.concatenate(x) for x in zip(*some, strict=True)) if some else (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0))
+        return pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(ids).cast(id_type), pa.array(scores, pa.float64())], names=names)
 
 
-def sparse_scores(queries: DataFrame, docs: DataFrame, id_col: str = "doc_id", text: str = "text", stops: list[str] | None = None) -> DataFrame:
-    """(query_id, id, score): dot products of the sparse vectors; the terms' idf counts on both sides."""
-    q, d = query_weights(queries, docs, id_col, text, stops)
-    pairs = d.join(F.broadcast(q.withColumnRenamed("weight", "_q")), "term")
-    return pairs.groupBy("query_id", id_col).agg(F.round(F.sum(F.col("_q") * F.col("weight")), 6).alias("score"))
+def _ranked(found: DataFrame, names: list, queries: DataFrame, k: int, id_col: str) -> DataFrame:
+    """found (_q, id, score): the k best of each task -> of all, with the queries' own ids."""
+    kind = queries.schema["query_id"].dataType
+    named = queries.sparkSession.createDataFrame(list(enumerate(names)), StructType([StructField("_q", IntegerType()), StructField("query_id", kind)]))
+    d = found.join(F.broadcast(named), "_q").select("query_id", id_col, F.round("score", 6).alias("score"))
+    return top(d, k, id_col=id_col)
 
 
-def sparse_topk(queries: DataFrame, docs: DataFrame, k: int = 10, id_col: str = "doc_id", text: str = "text", stops: list[str] | None = None) -> DataFrame:
-    return top(sparse_scores(queries, docs, id_col, text, stops), k, id_col=id_col)
+def sparse_topk(queries: DataFrame, docs: DataFrame, k: int = 10, id_col: str = "doc_id", text: str = "text", stops: list[str] | None = None, stem=None, stats: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """queries (query_id, text): the k documents of greatest dot product of BM25 vectors; the terms' idf counts on both sides.
+
+    Documents are tokenised once: what the queries' terms occur in each is stored, counted for the statistics (unless `stats`, from
+    index.load, are given) and scored in the document's own row, so a task sends k rows a query. Queries, a stated set, go out in blocks.
+    """
+    return in_blocks(queries, lambda block: _sparse_block(block, docs, k, id_col, text, stops, stem, stats))
+
+
+def _sparse_block(queries, docs, k, id_col, text, stops, stem, stats) -> DataFrame:
+    spark = docs.sparkSession
+    asked = queries.select("query_id", tokens("text", stops, stem).alias("_t")).collect()
+    names = [r["query_id"] for r in asked]
+    terms = {t: i for i, t in enumerate(sorted({t for r in asked for t in r["_t"]}))}
+    wanted = spark.sparkContext.broadcast(terms) if hasattr(spark, "sparkContext") else None
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def occur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = wanted.value if wanted else terms
+        for batch in batches:
+            at, counts = [], []
+            for ts in batch.column(1).to_pylist():
+                own = Counter(of[t] for t in ts if t in of)
+                at.append(list(own))
+                counts.append(list(own.values()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int64()))], names=[id_col, "t", "tf"])
+
+    found = tokens(text, stops, stem)
+    if len(terms) <= TERMS_IN_PLAN:
+        found = F.filter(found, lambda t: t.isin(list(terms)))
+    held = docs.select(id_col, found.alias("_t")).mapInArrow(occur, f"{id_col} {kind}, t array<int>, tf array<long>").filter("size(t) > 0")
+    path = shared_path(spark, "query-postings")
+    held.write.parquet(path)
+    held = spark.read.schema(held.schema).parquet(path)
+    df = np.zeros(len(terms))
+    if stats is None:
+        total = docs.count()
+        for r in held.select(F.explode("t").alias("t")).groupBy("t").count().collect():
+            df[r["t"]] = r["count"]
+    else:
+        total = stats[1].first()["total_docs"]
+        known = spark.createDataFrame(list(terms.items()), "term string, t int")
+        for r in stats[0].join(F.broadcast(known), "term").select("t", "df").collect():
+            df[r["t"]] = r["df"]
+    idf = np.where(df > 0, np.log((total - df + 0.5) / (df + 0.5) + 1.0), 0.0)
+    k1 = index.K1
+    weigh = lambda t, tf: idf[t] * tf * (k1 + 1) / (tf + k1)
+    # Postings of the queries: for each term, which query it is in and with what weight.
+    rows = sorted((terms[t], j, n) for j, r in enumerate(asked) for t, n in Counter(r["_t"]).items())
+    term, query, count = (np.array([x[i] for x in rows], dtype=np.int64) for i in range(3))
+    own, starts = weigh(term, count.astype(float)), np.searchsorted(term, np.arange(len(terms) + 1))
+    lists, n = (starts, query, own), len(names)
+    step = max(1, (1 << 21) // max(n, 1))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts, query, own = lists
+        best, id_type = _Top(n, k), None
+        for whole in batches:
+            id_type = whole.schema.field(0).type
+            for first in range(0, whole.num_rows, step):
+                batch = whole.slice(first, step)
+                lens = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+                t = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+                w = weigh(t, batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(float))
+                doc = np.repeat(np.arange(batch.num_rows), lens)
+                times = starts[t + 1] - starts[t]
+                # A document's term meets every query that has it.
+                at = np.repeat(starts[t] - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())
+                pair = np.repeat(doc, times) * n + query[at]
+                total = np.bincount(pair, np.repeat(w, times) * own[at], batch.num_rows * n).reshape(batch.num_rows, n)
+                best.add(batch.column(0).to_numpy(zero_copy_only=False), np.where(total > 0, total, np.nan))
+        if id_type is not None:
+            yield best.batch(["_q", id_col, "score"], id_type)
+
+    return _ranked(held.mapInArrow(score, f"_q int, {id_col} {kind}, score double"), names, queries, k, id_col)
 
 
 def dense_topk(queries: DataFrame, rows: DataFrame, k: int = 10, id_col: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """queries (query_id, query): the k rows of greatest cosine of each query."""
-    scored = rows.crossJoin(F.broadcast(queries)).select("query_id", id_col, F.round(vectors.cosine("query", embedding), 6).alias("score"))
-    return top(scored.filter("score IS NOT NULL"), k, id_col=id_col)
+    """queries (query_id, query): the k rows of greatest cosine of each query; exact. Vectors without length or of another size than the query's have none.
+
+    Queries, a stated set, go out in blocks as a matrix of unit rows; a batch of rows is scored in one product, and a task sends k rows a query.
+    """
+    return in_blocks(queries, lambda block: _dense_block(block, rows, k, id_col, embedding))
+
+
+def _dense_block(queries, rows, k, id_col, embedding) -> DataFrame:
+    asked = [r for r in queries.filter("query IS NOT NULL").select("query_id", F.col("query").cast("array<double>").alias("query")).collect() if r["query"] and None not in r["query"]]
+    kind = rows.schema[id_col].dataType.simpleString()
+    names = [r["query_id"] for r in asked]
+    sizes = sorted({len(r["query"]) for r in asked})
+    unit = {}
+    for d in sizes:
+        at = [j for j, r in enumerate(asked) if len(r["query"]) == d]
+        m = np.array([asked[j]["query"] for j in at])
+        norm = np.sqrt((m * m).sum(axis=1))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            unit[d] = np.array(at), m / norm[:, None]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, id_type = _Top(len(names), k), None
+        for batch in batches:
+            id_type = batch.schema.field(0).type
+            lens = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            for d, (at, queries) in unit.items():
+                own = batch.filter(pa.array(lens == d))
+                if own.num_rows:
+                    m = own.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
+                    ids = own.column(0).to_numpy(zero_copy_only=False)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        m = m / np.sqrt((m * m).sum(axis=1))[:, None]
+                    scores = np.full((len(ids), len(names)), np.nan)
+                    scores[:, at] = m @ queries.T
+                    best.add(ids, scores)
+        if id_type is not None:
+            yield best.batch(["_q", id_col, "score"], id_type)
+
+    found = rows.select(id_col, embedding).filter(F.col(embedding).isNotNull()).mapInArrow(score, f"_q int, {id_col} {kind}, score double")
+    return _ranked(found, names, queries, k, id_col)
 
 
 def in_blocks(queries: DataFrame, search, size: int = QUERIES_A_PASS) -> DataFrame:
@@ -85,18 +222,15 @@ def rrf(sparse: DataFrame, dense: DataFrame, k: int = 10, boost: float = SPARSE_
     return top(d, k, id_col=id_col, tie=tie).select("query_id", id_col, "score", "rank", "sparse_rank", "dense_rank")
 
 
-def hybrid(queries: DataFrame, docs: DataFrame, rows: DataFrame, k: int = 10, boost: float = SPARSE_BOOST, stops: list[str] | None = None, id_col: str = "doc_id") -> DataFrame:
+def hybrid(queries: DataFrame, docs: DataFrame, rows: DataFrame, k: int = 10, boost: float = SPARSE_BOOST, stops: list[str] | None = None, id_col: str = "doc_id", stem=None, stats: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """queries (query_id, text, query), docs (id, text), rows (id, embedding): sparse and dense top-k, fused.
 
     A query without known terms gets the dense list, one without a vector the sparse list.
     """
 
-    def search(block: DataFrame) -> DataFrame:
-        sparse = sparse_topk(block.select("query_id", "text"), docs, k, id_col, stops=stops)
-        dense = dense_topk(block.select("query_id", "query").filter("query IS NOT NULL"), rows, k, id_col)
-        return rrf(sparse, dense, k, boost, id_col=id_col)
-
-    return in_blocks(queries, search)
+    sparse = sparse_topk(queries.select("query_id", "text"), docs, k, id_col, stops=stops, stem=stem, stats=stats)
+    dense = dense_topk(queries.select("query_id", "query").filter("query IS NOT NULL"), rows, k, id_col)
+    return rrf(sparse, dense, k, boost, id_col=id_col)
 
 
 def overfetched(hits: DataFrame, query: str, names: list[str], limit: int) -> DataFrame:
