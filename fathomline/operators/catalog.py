@@ -25,10 +25,13 @@ class Catalog:
         return f"{self.root}/{name}"
 
     def read(self, name: str) -> DataFrame | None:
+        """The table; None where nothing is at its path. Every other fault is an error, so that no table is taken for a missing one and made anew."""
         try:
             return self.spark.read.parquet(self.path(name))
-        except AnalysisException:
-            return None
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
 
     def exists(self, name: str, version: str | None = None) -> bool:
         df = self.read(name)

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from fathomline.functions import ids, vectors, versions
 from fathomline.functions.text import EXCLUDED_CONTENT, EXCLUDED_NAMES, PAGE_CONTENT, PAGE_PATHS, is_page_content, is_page_name, not_blank, stripped, tokens
 from fathomline.operators import catalog, elements, extract, hygiene, index, progress, render, search
+from fathomline.sources.shared import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -95,6 +96,30 @@ def bm25_weights_by_source(spark, sf_dir):
     return index.weights(read(spark, sf_dir, "documents"), by=["source"]).withColumn("weight", F.round("weight", 6))
 
 
+STOPPED = ["the", "and", "of", "to", "in"]
+STOPPED_SQL = f"SELECT * FROM ({POSTINGS}) WHERE term NOT IN ('the', 'and', 'of', 'to', 'in')"
+
+
+@query(
+    f"""SELECT doc_id, term, round({WEIGHT.format(n="(SELECT count(*) FROM documents)")}, 6) AS weight
+    FROM ({STOPPED_SQL}) JOIN (SELECT term, count(*) AS df FROM ({STOPPED_SQL}) GROUP BY term) USING (term)"""
+)
+def bm25_without_stops(spark, sf_dir):
+    return index.weights(read(spark, sf_dir, "documents"), stops=STOPPED).withColumn("weight", F.round("weight", 6))
+
+
+def stored_stats(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    at = shared_path(spark, "statistics")
+    index.save(read(spark, sf_dir, "documents"), at)
+    return index.load(spark, at)
+
+
+@query(f"""SELECT term, CAST(count(DISTINCT doc_id) AS BIGINT) AS df, (SELECT CAST(count(*) AS BIGINT) FROM documents) AS total_docs FROM ({TOKENS}) GROUP BY term""")
+def stats_round_trip(spark, sf_dir):
+    terms, totals = stored_stats(spark, sf_dir)
+    return terms.crossJoin(F.broadcast(totals.select("total_docs")))
+
+
 # Search.
 
 
@@ -144,6 +169,13 @@ def sparse_topk_batch(spark, sf_dir):
     return search.in_blocks(queries, lambda q: search.sparse_topk(q, docs))
 
 
+@query(sparse_sql(BENCH))
+def sparse_topk_stored(spark, sf_dir):
+    """Search by statistics that were stored before."""
+    queries = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return search.sparse_topk(queries, read(spark, sf_dir, "documents"), stats=stored_stats(spark, sf_dir))
+
+
 @query(dense_sql(QUERY_0))
 def dense_topk(spark, sf_dir):
     return search.dense_topk(vector_queries(spark, sf_dir).filter("query_id = 0"), read(spark, sf_dir, "embeddings"))
@@ -566,55 +598,51 @@ def related_elements(spark, sf_dir):
     return d.filter(F.size("r") > 0).select("doc_id", F.array_join("r", "|").alias("related"))
 
 
-FIXTURE = (
-    ("Глобальный контекст.СтрДлина (Global context.StrLen)", "Описание: Возвращает длину строки в символах.\n\nПараметры:\n<Строка> (Строка) - исходная строка\nвторая часть\nРежим (Число) - необязательный. По умолчанию: 1.\n\nВозвращаемое значение: Тип: Число. Длина строки.\n\nДоступность: Сервер, толстый клиент.\nПримечание: Не учитывает хвост.\nДоступен, начиная с версии 8.3.6."),
-    ("Массив.Добавить (Array.Add)", "Syntax: Add(Value)\n\nDescription: Adds a value to the end of the array.\n\nParameters:\nValue (Arbitrary) - what is added, optional\n\nReturn value: Number - index of it\n\nAvailability: Server.\nNote: none needed\nDeprecated since version 8.3.20"),
-    ("Перечисление Цвет", "Значения:\nКрасный: тёплый\nСиний: холодный\n\nБазовый тип: Строка, Число"),
-    ("Index", "Plain text of a page. It has some longer sentences in it! Short. And one more sentence that is long enough."),
-)
-
+PART_SQL = """SELECT p_partkey AS k, p_name, p_brand, p_size, p_type, CAST(p_partkey AS VARCHAR) AS n, CAST(p_size AS VARCHAR) AS size,
+    CASE WHEN p_size % 3 = 0 THEN 'Deprecated since version 8.3.' ELSE 'Available since version 8.3.' END AS since FROM part"""
 
-def fixture(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, t, c) for i, (t, c) in enumerate(FIXTURE)], "k int, title string, content string")
 
-
-def _q(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
+def member_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, title, content): a page of documentation for each part, with labelled sections in both languages by turns."""
+    p, t = read(spark, sf_dir, "part"), lambda ru, en: F.when(F.col("p_partkey") % 2 == 0, ru).otherwise(en)
+    n, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    say = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    name, brand, kind = F.col("p_name"), F.col("p_brand"), F.col("p_type")
+    content = say(
+        t("Синтаксис:", "Syntax:"), " Method", n, "(Value)\n\n", t("Описание:", "Description:"), " Takes the part ", name, " of ", brand, ".\n\n", t("Параметры:", "Parameters:"), "\n<Value> (", brand, ") - what is taken",
+        F.when(F.col("p_size") % 2 == 0, ", optional").otherwise(""), "\nSize (Number) - how large. ", t("По умолчанию: ", "Default: "), size, ".\n\n", t("Значения:", "Values:"), "\nFirst: ", name, "\n2nd: ", brand, "\n\n",
+        t("Возвращаемое значение:", "Return value:"), " Number - index of ", kind, "\n\n", t("Доступность:", "Availability:"), " Server, ", brand, ".\n", t("Примечание:", "Note:"), " see ", name, "\n",
+        F.when(F.col("p_size") % 3 == 0, "Deprecated since version 8.3.").otherwise("Available since version 8.3."), size,
+    )
+    return p.select(F.col("p_partkey").alias("k"), say("Массив.Метод", n, " (Array.Method", n, ")").alias("title"), content.alias("content"))
 
 
-# What the labelled sections of the fixture are, in the order of its pages.
-FIELDS = (
-    ("Возвращает длину строки в символах.", "Не учитывает хвост. Доступен, начиная с версии 8.3.6.", "Сервер, толстый клиент", "8.3.6.", False, "", "Число", "СтрДлина", "StrLen"),
-    ("Adds a value to the end of the array.", "none needed Deprecated since version 8.3.20", "Server. Note: none needed Deprecated since version 8.3.20", "8.3.20", True, "8.3.20", "Number", "Добавить", "Add"),
-    ("Значения:\nКрасный: тёплый\nСиний: холодный\n\nБазовый тип: Строка, Число.", "", "", "", False, "", "Unknown", "Цвет", ""),
-    ("It has some longer sentences in it.", "", "", "", False, "", "Unknown", "Index", ""),
-)
-FIELD_SQL = " UNION ALL ".join(
-    f"SELECT {i} AS k, {_q(d)} AS description, {_q(n)} AS notes, {_q(a)} AS availability, {_q(s)} AS since, {str(dep).lower()} AS deprecated, {_q(ds)} AS deprecated_since, {_q(r)} AS return_type, {_q(fn)} AS name, {_q(en)} AS name_en"
-    for i, (d, n, a, s, dep, ds, r, fn, en) in enumerate(FIELDS)
+@query(
+    f"""SELECT k, 'Takes the part ' || p_name || ' of ' || p_brand || '.' AS description, 'see ' || p_name || ' ' || since || size AS notes, 'Server, ' || p_brand AS availability,
+        '8.3.' || size AS since, p_size % 3 = 0 AS deprecated, CASE WHEN p_size % 3 = 0 THEN '8.3.' || size ELSE '' END AS deprecated_since, 'Number' AS return_type,
+        'index of ' || p_type AS return_text, 'Метод' || n AS name, 'Method' || n AS name_en, 'Массив' AS parent, 'Method' || n || '(Value)' AS signature FROM ({PART_SQL})"""
 )
-
-
-@query(FIELD_SQL)
 def page_fields(spark, sf_dir):
     v, r = extract.version_info("content"), extract.returned("content")
-    return fixture(spark).select(
+    en = extract.english_name("title")
+    return member_pages(spark, sf_dir).select(
         "k", extract.description("content").alias("description"), extract.notes("content").alias("notes"), extract.availability("content").alias("availability"), v["since"].alias("since"),
-        v["deprecated"].alias("deprecated"), v["deprecated_since"].alias("deprecated_since"), r["type"].alias("return_type"), extract.function_name("title").alias("name"), extract.english_name("title").alias("name_en"),
+        v["deprecated"].alias("deprecated"), v["deprecated_since"].alias("deprecated_since"), r["type"].alias("return_type"), r["description"].alias("return_text"),
+        extract.function_name("title").alias("name"), en.alias("name_en"), extract.parent_name("title").alias("parent"), extract.signature("content", en).alias("signature"),
     )
 
 
 @query(
-    """SELECT 0 AS k, 'Строка' AS name, 'Строка' AS type, true AS required, CAST(NULL AS VARCHAR) AS default_value UNION ALL SELECT 0, 'вторая', 'Unknown', true, NULL
-    UNION ALL SELECT 0, 'Режим', 'Число', false, '1' UNION ALL SELECT 1, 'Value', 'Arbitrary', false, NULL"""
+    f"""SELECT k, 'Value' AS name, p_brand AS type, 'what is taken' || CASE WHEN p_size % 2 = 0 THEN ', optional' ELSE '' END AS description, p_size % 2 != 0 AS required, CAST(NULL AS VARCHAR) AS default_value FROM ({PART_SQL})
+    UNION ALL SELECT k, 'Size', 'Number', 'how large. ' || CASE WHEN k % 2 = 0 THEN 'По умолчанию: ' ELSE 'Default: ' END || size || '.', false, size FROM ({PART_SQL})"""
 )
 def page_parameters(spark, sf_dir):
-    return fixture(spark).select("k", F.inline(extract.parameters("content"))).select("k", "name", "type", "required", "default_value")
+    return member_pages(spark, sf_dir).select("k", F.inline(extract.parameters("content"))).select("k", "name", "type", "description", "required", "default_value")
 
 
-@query("""SELECT 2 AS k, 'Красный' AS name, 'тёплый' AS description""")  # a section ends at a line that starts with a letter
+@query(f"""SELECT k, 'First' AS name, p_name AS description FROM ({PART_SQL}) UNION ALL SELECT k, '2nd', p_brand FROM ({PART_SQL})""")
 def enum_values(spark, sf_dir):
-    return fixture(spark).select("k", F.inline(extract.enum_values("content")))
+    return member_pages(spark, sf_dir).select("k", F.inline(extract.enum_values("content")))
 
 
 @query("""SELECT page_id, CASE WHEN contains(p, '/objects/') THEN 'Object' WHEN contains(p, '/enums/') THEN 'Enum' ELSE 'Unknown' END AS category FROM (SELECT page_id, %s AS p FROM pages)""" % PATH_SQL)
@@ -631,14 +659,11 @@ def page_index_text(spark, sf_dir):
 def archive_round_trip(spark, sf_dir):
     """Pages written to archives and read back by the archive source."""
     import io
-    import tempfile
-    import uuid
     import zipfile
 
     from fathomline.sources.archive import container
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    at = f"{root.rstrip('/')}/archives-{uuid.uuid4().hex}"
+    at = shared_path(spark, "archives")
     pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
 
     def pack(batches):
