@@ -163,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     """Train on at most `sample` labelled rows a class that aren't held out; their whole texts come to the driver.
 
     Which rows: those whose ids' hashes are least, so reruns agree. Null labels, ids and texts teach nothing. A label given twice
-    counts once; an id with both labels is left out.
+    counts once; an id with both labels is left out. Of an id with several texts the least one counts, so reruns agree.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("_top"))
     known = known.filter("y = _top").select("doc_id", F.col("y").cast("int").alias("y"))
@@ -172,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     chosen = known.filter("y = 0").orderBy(order, "doc_id").limit(sample).unionByName(known.filter("y = 1").orderBy(order, "doc_id").limit(sample))
     ids = chosen.collect()
     few = docs.sparkSession.createDataFrame([(r["doc_id"], r["y"]) for r in ids], "doc_id long, y int")
-    rows = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "y")
+    rows = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(few), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     texts = [(r["text"], r["y"]) for r in sorted(rows.toLocalIterator(), key=lambda r: r["doc_id"])]
     return train(texts, prior=n.get(1, 0) / sum(n.values()) if n else None)
 
