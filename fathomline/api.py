@@ -11,7 +11,7 @@ from fathomline.functions import ids, vectors, versions
 from fathomline.functions.text import not_blank, stop_words
 from fathomline.operators import catalog as cat
 from fathomline.operators import elements as el
-from fathomline.operators import extract, render, search
+from fathomline.operators import records, render, search
 
 LIMIT, MAX_LIMIT = 10, 100
 ACTIONS = ("list", "info", "list_indexed", "index", "reindex", "index_all", "default", "set_default", "clear_default", "delete")
@@ -95,30 +95,20 @@ class Engine:
             d = items.withColumn("full_name", full).withColumn(cat.VERSION, F.lit(version))
             d = d.withColumn("id", ids.element_key(ids.original_id(cat.VERSION, "element_type", "full_name")))
             d = el.best_source(d)
-            d = d.withColumn("text", ids.search_text("element_type", "element_name", "element_name_en", "full_name", "content")).filter(not_blank("text"))
+            own = [F.transform("parameters", lambda p: p["name"]) if c == "parameters" else c if c in d.columns else None for c in ("signature", "parameters", "return_type")] if "parameters" in d.columns else []
+            d = d.withColumn("text", ids.search_text("element_type", "element_name", "element_name_en", "full_name", "content", *own)).filter(not_blank("text"))
             self.catalog.upsert(self.table, d.withColumn("embedding", vectors.encoded("text")))
             return True
         finally:
             self.busy.discard(version)
 
     def page_items(self, pages: DataFrame) -> DataFrame:
-        """Items of pages (path, html, seq) for index(): one element a page that is one, else the page itself."""
-        t, c = extract.title("html"), extract.content("html")
-        d = pages.select("path", "seq", t.alias("title"), c.alias("content")).withColumn("page_type", extract.page_type("path", "title", "content"))
-        d = d.withColumn("element_type", F.when(F.col("page_type") == "function", F.when(extract.is_method("path", "title"), "method").otherwise("function")).when(F.col("page_type") == "object", "type").otherwise(F.col("page_type")))
-        name = F.when(F.col("element_type").isin("method", "function", "property"), extract.function_name("title")).when(F.col("element_type") == "type", extract.object_name("title"))
-        name = name.when(F.col("element_type") == "enum", extract.enum_name("title")).when(F.col("element_type") == "constructor", "Новый").otherwise(F.col("title"))
-        parent = F.when(F.col("element_type").isin(*ids.MEMBERS), extract.parent_name("title"))
-        return d.select("element_type", name.alias("element_name"), extract.english_name("title").alias("element_name_en"), parent.alias("parent_type"), "content", "path", "seq")
+        """Items of pages (path, html, seq) for index(): each page's element, the members that types' pages list, and pages without elements."""
+        return records.items(pages)
 
     def member_items(self, pages: DataFrame) -> DataFrame:
-        """Items of the members that type pages link to; a member's own page, if there is one, is preferred by index()."""
-        t, c = extract.title("html"), extract.content("html")
-        d = pages.filter(extract.page_type("path", t, c) == "object").select("path", "seq", "html", extract.object_name(t).alias("parent_type"))
-        kinds = {k: f"_{k}" for k in extract.MEMBER_LINKS}
-        flat = el.flattened(d.select(F.struct("path", "seq", "parent_type").alias("path"), *[extract.member_links("html", k).alias(n) for k, n in kinds.items()]), kinds)
-        name = F.when(F.col("element_type") == "constructor", "Новый").otherwise(F.col("element.name"))
-        return flat.select("element_type", name.alias("element_name"), F.lit("").alias("element_name_en"), "path.parent_type", F.col("element.description").alias("content"), "path.path", "path.seq")
+        """Those of page_items() that types' pages list; a member's own page, if there is one, is preferred by index()."""
+        return records.items(pages, with_own=False)
 
     def manage(self, action: str, version: str | None = None, items: DataFrame | None = None) -> DataFrame | bool | str | None:
         """The catalogue's actions by name."""

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from fathomline.functions import ids, vectors, versions
 from fathomline.functions.text import EXCLUDED_CONTENT, EXCLUDED_NAMES, PAGE_CONTENT, PAGE_PATHS, is_page_content, is_page_name, not_blank, stripped, tokens
-from fathomline.operators import catalog, elements, extract, hygiene, index, progress, render, search
+from fathomline.operators import catalog, elements, extract, hygiene, index, progress, records, render, search
 from fathomline.sources.shared import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -645,6 +645,50 @@ def enum_values(spark, sf_dir):
     return member_pages(spark, sf_dir).select("k", F.inline(extract.enum_values("content")))
 
 
+def marked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq, path, html): a page of a method, a constructor or a property for each part, by turns."""
+    n, say = F.col("p_partkey").cast("string"), lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    kind = lambda *of: F.when(F.col("p_partkey") % 3 == 0, say(*of[0])).when(F.col("p_partkey") % 3 == 1, say(*of[1])).otherwise(say(*of[2]))
+    chapter = '<p class="V8SH_chapter">'
+    path = kind(["/objects/a/methods/m.html"], ["/objects/a/ctors/c.html"], ["/objects/a/properties/p.html"])
+    title = kind(["Массив.Метод", n, " (Array.Method", n, ")"], ["По размеру"], ["Форма.Поле", n, " (Form.Field", n, ")"])
+    body = kind(
+        [f"{chapter}Синтаксис:</p>Метод", n, f"(&lt;Value&gt;) gives it{chapter}Параметры:</p><div class='V8SH_rubric'>&lt;Value&gt; (необязательный)</div>Тип: <a href='x'>", F.col("p_brand"), "</a>. What is taken."],
+        [f"{chapter}Синтаксис:</p>Новый Массив", n, "(&lt;Size&gt;)<hr>"],
+        [f"{chapter}Тип:</p><a href='x'>", F.col("p_brand"), "</a>. ", F.when(F.col("p_size") % 2 == 0, "Только чтение.").otherwise("")],
+    )
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq"), path.alias("path"), say("<html><body><h1>", title, "</h1>", body, "</body></html>").alias("html"))
+
+
+@query(
+    """SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN 'method' WHEN 1 THEN 'constructor' ELSE 'property' END AS element_type,
+        CASE p_partkey % 3 WHEN 0 THEN 'Метод' || p_partkey WHEN 1 THEN 'Новый' ELSE 'Поле' || p_partkey END AS element_name,
+        CASE p_partkey % 3 WHEN 0 THEN 'Method' || p_partkey WHEN 1 THEN '' ELSE 'Field' || p_partkey END AS element_name_en,
+        CASE p_partkey % 3 WHEN 0 THEN 'Массив' WHEN 1 THEN 'Массив' || p_partkey ELSE 'Форма' END AS parent_type,
+        CASE p_partkey % 3 WHEN 0 THEN 'Метод' || p_partkey || '(<Value>)' WHEN 1 THEN 'Новый Массив' || p_partkey || '(<Size>)' END AS signature,
+        CASE p_partkey % 3 WHEN 0 THEN 'Value:' || p_brand || ':false' WHEN 1 THEN '' END AS parameters,
+        CASE WHEN p_partkey % 3 = 2 THEN p_brand END AS property_type, CASE WHEN p_partkey % 3 = 2 THEN p_size % 2 = 0 END AS read_only FROM part"""
+)
+def page_records(spark, sf_dir):
+    shown = F.array_join(F.transform("parameters", lambda p: F.concat_ws(":", p["name"], p["type"], p["required"].cast("string"))), ",").alias("parameters")
+    kind = F.when(F.col("element_type") == "property", F.col("return_type")).alias("property_type")
+    return records.records(marked_pages(spark, sf_dir)).select(F.col("seq").alias("k"), "element_type", "element_name", "element_name_en", "parent_type", "signature", shown, kind, "read_only")
+
+
+@query(
+    """SELECT k, kind AS element_type, CASE kind WHEN 'type' THEN 'Тип' || k WHEN 'method' THEN 'Найти' || k WHEN 'link' THEN 'Сортировать' ELSE 'Длина' END AS element_name,
+        CASE kind WHEN 'type' THEN 'Type' || k WHEN 'method' THEN 'Find' || k WHEN 'link' THEN 'Sort' ELSE 'Length' END AS element_name_en, CASE WHEN kind != 'type' THEN 'Тип' || k END AS parent_type,
+        CASE kind WHEN 'method' THEN 'takes ' || n_name WHEN 'link' THEN '' WHEN 'property' THEN 'Тип: Число. Только чтение' END AS said
+    FROM (SELECT n_nationkey AS k, n_name, unnest(['type', 'method', 'link', 'property']) AS kind FROM nation)""".replace("SELECT k, kind AS", "SELECT k, CASE kind WHEN 'link' THEN 'method' ELSE kind END AS")
+)
+def page_members(spark, sf_dir):
+    k, say = F.col("n_nationkey").cast("string"), lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    html = say("<h1>Тип", k, " (Type", k, ")</h1>\n\nМетоды:\nНайти", k, " (Find", k, ") - takes ", F.col("n_name"), "\n\nСвойства:\nДлина (Length) - Тип: Число. Только чтение\n\n<a href='x/methods/s.html'>Сортировать (Sort)</a>")
+    pages = read(spark, sf_dir, "nation").select(F.lit("/objects/o.html").alias("path"), html.alias("html"), F.col("n_nationkey").alias("seq"))
+    said = F.when(F.col("element_type") != "type", F.col("description")).alias("said")
+    return records.items(pages).select(F.col("seq").alias("k"), "element_type", "element_name", "element_name_en", "parent_type", said)
+
+
 @query("""SELECT page_id, CASE WHEN contains(p, '/objects/') THEN 'Object' WHEN contains(p, '/enums/') THEN 'Enum' ELSE 'Unknown' END AS category FROM (SELECT page_id, %s AS p FROM pages)""" % PATH_SQL)
 def page_category(spark, sf_dir):
     return page_paths(spark, sf_dir).select("page_id", extract.category("path").alias("category"))
