@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,7 @@ class Engine:
     table: str = "elements"
     stops: list[str] | None = None
     busy: set[str] = field(default_factory=set)
+    encoder: Callable[[], vectors.Encoder] | None = None
 
     def __post_init__(self):
         self.catalog = cat.Catalog(self.spark, self.root)
@@ -61,7 +63,7 @@ class Engine:
         """Rank-fused hits: rank, id, score, title, content, element_type; dense only where no term is known or hybrid is off."""
         query, limit = checked(query, limit)
         rows = self.elements(version)
-        q = self.spark.range(1).select(F.lit(0).cast("long").alias("query_id"), F.lit(query).alias("text")).withColumn("query", vectors.encoded("text"))
+        q = self.spark.range(1).select(F.lit(0).cast("long").alias("query_id"), F.lit(query).alias("text")).withColumn("query", vectors.encoded("text", encoder=self.encoder))
         hits = search.hybrid(q, rows, rows, limit, stops=self.stops, id_col="id") if hybrid else search.dense_topk(q.select("query_id", "query"), rows, limit, "id")
         return hits.join(rows, "id").select("rank", "id", "score", F.col("full_name").alias("title"), F.substring("content", 1, 200).alias("description"), "content", "element_type").orderBy("rank")
 
@@ -69,7 +71,7 @@ class Engine:
         """The cascade of exact names, full names, nearest elements and a scan."""
         query, limit = checked(query, limit)
         rows = self.elements(version)
-        q = self.spark.range(1).select(F.lit(0).cast("long").alias("query_id"), F.lit(query).alias("text")).withColumn("query", vectors.encoded("text"))
+        q = self.spark.range(1).select(F.lit(0).cast("long").alias("query_id"), F.lit(query).alias("text")).withColumn("query", vectors.encoded("text", encoder=self.encoder))
         dense = search.dense_topk(q.select("query_id", "query"), el.where(rows, [element_type] if element_type else None), search.fetch_size(query, limit), "id")
         return el.cascade(rows, query, dense.select("id", "score", "rank"), element_type, limit).join(rows, "id")
 
@@ -97,7 +99,7 @@ class Engine:
             d = el.best_source(d)
             own = [F.transform("parameters", lambda p: p["name"]) if c == "parameters" else c if c in d.columns else None for c in ("signature", "parameters", "return_type")] if "parameters" in d.columns else []
             d = d.withColumn("text", ids.search_text("element_type", "element_name", "element_name_en", "full_name", "content", *own)).filter(not_blank("text"))
-            self.catalog.upsert(self.table, d.withColumn("embedding", vectors.encoded("text")))
+            self.catalog.upsert(self.table, d.withColumn("embedding", vectors.encoded("text", encoder=self.encoder)))
             return True
         finally:
             self.busy.discard(version)

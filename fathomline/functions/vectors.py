@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -48,13 +48,41 @@ def encode(text: str | None, dim: int = 64) -> list[float]:
     return (v / n if n else v).tolist()
 
 
-def encoded(text: str | Column, dim: int = 64) -> Column:
-    """A deterministic stand-in for a neural encoder, by an Arrow UDF as an encoder would be."""
+#: Texts that an encoder gets at once, and that one request may hold.
+SUB_BATCH, MOST_TEXTS = 32, 100
+Encoder = Callable[[list[str]], np.ndarray]
+
+
+def hashing(dim: int = 64) -> Encoder:
+    """A deterministic stand-in for a neural encoder."""
     one = encode
+    return lambda texts: np.array([one(t, dim) for t in texts])
+
+
+def unit_rows(m: np.ndarray) -> np.ndarray:
+    """Rows of length 1; zeros stay."""
+    n = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return m / np.where(n == 0, 1.0, n)
+
+
+def encoded(text: str | Column, dim: int = 64, encoder: Callable[[], Encoder] | None = None, batch: int = SUB_BATCH) -> Column:
+    """Vectors of length 1, by an Arrow UDF. `encoder` makes the encoder once a task (a model is loaded there, not sent); it gets at most `batch`
+    texts at once, null as ''. Without one words are hashed to dim numbers."""
+    make, unit = encoder or (lambda: hashing(dim)), unit_rows
 
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = make()
         for s in batches:
-            yield pd.Series([one(t, dim) for t in s])
+            texts = s.fillna("").tolist()
+            parts = [unit(np.asarray(model(texts[i : i + batch]), dtype=float)) for i in range(0, len(texts), batch)]
+            yield pd.Series([v.tolist() for p in parts for v in p], index=s.index, dtype=object)
 
     return run(col(text))
+
+
+def embedded(texts: list[str], encoder: Encoder | None = None, most: int = MOST_TEXTS) -> list[list[float]]:
+    """One request's vectors, without Spark; over `most` texts, or none, are a ValueError."""
+    if not 1 <= len(texts) <= most:
+        raise ValueError(f"a request has 1 to {most} texts")
+    return unit_rows(np.asarray((encoder or hashing())(texts), dtype=float)).tolist()

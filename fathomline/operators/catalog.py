@@ -33,6 +33,13 @@ class Catalog:
                 return None
             raise
 
+    def tables(self) -> list[str]:
+        """Names of the tables, sorted."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in fs.listStatus(p) if f.isDirectory()] if fs.exists(p) else []
+        return sorted(n for n in names if n != "settings" and not n.startswith(("_", ".")))
+
     def exists(self, name: str, version: str | None = None) -> bool:
         df = self.read(name)
         return df is not None and (version is None or not df.filter(F.col(VERSION) == version).isEmpty())

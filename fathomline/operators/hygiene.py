@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -28,6 +31,18 @@ def token_budget(turns: DataFrame, group: str = "conv_id", order: str = "turn",
     return d.withColumn("level", F.when(F.col("pct") >= CRITICAL, "critical").when(F.col("pct") >= WARN, "warn").otherwise("ok"))
 
 
+def rules_of(replacements: dict[str, str]) -> tuple[tuple[str, str], ...]:
+    """Rules of a map of patterns, in any case of letters; longer patterns go first, so the map's order says nothing. A pattern that isn't one is an error."""
+    for p in replacements:
+        re.compile(p)
+    return tuple((f"(?i){p}", replacements[p]) for p in sorted(replacements, key=lambda p: (-len(p), p)))
+
+
+def read_rules(spark: SparkSession, path: str) -> tuple[tuple[str, str], ...]:
+    """The rules of a JSON file, {"pattern": "replacement", ...}."""
+    return rules_of(json.loads("".join(r[0] for r in spark.read.text(path, wholetext=True).collect())))
+
+
 def sanitized(text: str | Column, rules=RULES) -> Column:
     c = F.col(text) if isinstance(text, str) else text
     for pattern, to in rules:
