@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import decontaminate, fingerprints, html_extract, jaccard_join, line_dedup, mixing, passages, pieces, pii, quality, secret_scan, warc
+from . import decontaminate, fingerprints, html_extract, jaccard_join, line_dedup, mixing, passages, pieces, pii, quality, rolling, secret_scan, warc
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.report(C.table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rolling.report(C.table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_decontaminate": op2_decontaminate,
@@ -76,8 +80,22 @@ QUERIES = {
     "op9_html_extract": op9_html_extract,
     "op10_pii": op10_pii,
     "op11_sentencepiece": op11_sentencepiece,
+    "op12_rolling": op12_rolling,
 }
 _WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: crc32 of the integer {0} in decimal; needs the table crc_table (t: list of 256).
+_CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(CAST({0} AS VARCHAR)) + 1),
+    lambda i: CAST(ascii(substr(CAST({0} AS VARCHAR), CAST(i AS INTEGER), 1)) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), CAST(4294967295 AS BIGINT))"""
+_CRC_TABLE = """SELECT list_transform(range(0, 256), lambda i: list_reduce(list_prepend(i, range(0, 8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END)) AS t"""
+
+
+def _rolled(w: int) -> str:
+    return f"""SELECT doc_id, CAST({w} AS BIGINT) AS window_s, event_s, count(*) OVER w AS n_events, CAST(coalesce(sum(n) OVER w, 0) AS BIGINT) AS sum_chars,
+        count(DISTINCT lang) OVER w AS n_langs, count(n) OVER w AS m, list_sort(list(n) FILTER (n IS NOT NULL) OVER w) AS l
+        FROM e WINDOW w AS (PARTITION BY source ORDER BY event_s RANGE BETWEEN {w} PRECEDING AND 1 PRECEDING)"""
+
 
 ORACLES: dict[str, str] = {
     "op2_decontaminate": f"""
@@ -151,4 +169,9 @@ ORACLES: dict[str, str] = {
                    1 + CAST(list_sum(list_transform(range(0, 5), lambda j: CAST(substr(bits, k * 5 + j + 1, 1) AS INTEGER) * (16 >> j))) AS INTEGER), 1)), 'string_agg', '') AS payload_digest,
                CASE WHEN n = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN n > 1 THEN first END AS refers_to
         FROM b""",
+    "op12_rolling": f"""
+        WITH crc_table AS ({_CRC_TABLE}),
+        e AS (SELECT doc_id, source, lang, CAST(length(text) AS BIGINT) AS n, CAST(60 * floor((doc_id + {_CRC.format("doc_id")} % 10000) / 6) AS BIGINT) AS event_s FROM documents, crc_table),
+        r AS ({_rolled(600)} UNION ALL {_rolled(43200)})
+        SELECT doc_id, window_s, event_s, n_events, sum_chars, n_langs, l[(m + 1) // 2] AS median_chars, l[(90 * m + 99) // 100] AS high_chars FROM r""",
 }
