@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import decontaminate, fingerprints, html_extract, jaccard_join, line_dedup, mixing, passages, pieces, pii, quality, rolling, secret_scan, warc
+from . import decontaminate, fingerprints, html_extract, jaccard_join, line_dedup, merkle, mixing, passages, pieces, pii, quality, rolling, secret_scan, warc
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op12_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling.report(C.table(spark, sf_dir, "documents"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(C.table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_decontaminate": op2_decontaminate,
@@ -81,6 +85,7 @@ QUERIES = {
     "op10_pii": op10_pii,
     "op11_sentencepiece": op11_sentencepiece,
     "op12_rolling": op12_rolling,
+    "op13_merkle": op13_merkle,
 }
 _WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 #: crc32 of the integer {0} in decimal; needs the table crc_table (t: list of 256).
