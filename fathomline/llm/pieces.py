@@ -29,7 +29,7 @@ from .common import packed, stored, unpacked
 
 MARK = "▁"
 #: Code points of a block. A dictionary of more holds fewer words over all, but takes more of a task's memory.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 16_000_000
 #: Words of a block that are numbered by frequency, so that their places take one or two bytes.
 FREQUENT = 16_383
 #: Positions that are turned into ids at once.
