@@ -10,7 +10,6 @@ from pyspark.sql.window import Window
 
 from fathomline.functions import ids
 
-SCROLL, ELEMENT_SCROLL = 1000, 10
 MEMBER_ORDER = ("constructor", "method", "property")
 NAMES = ("element_name", "full_name", "content")
 
@@ -44,9 +43,11 @@ def where(elements: DataFrame, types: list[str] | None = None, **equal: str | bo
     return elements.filter(F.col("element_type").isin(types)) if types else elements
 
 
-def by_id(rows: DataFrame, n: int, id_col: str = "id") -> DataFrame:
-    """The first n rows in the order of ids: a scroll's page."""
-    return rows.orderBy(id_col).limit(n)
+def by_id(rows: DataFrame, n: int | None = None, id_col: str = "id", after=None) -> DataFrame:
+    """Rows in the order of ids: all, or the first n, behind the id `after` if given. A scroll's pages are the n behind the last one's last id, until one is empty."""
+    rows = rows if after is None else rows.filter(F.col(id_col) > F.lit(after))
+    rows = rows.orderBy(id_col)
+    return rows if n is None else rows.limit(n)
 
 
 def named_like(query: str, names: tuple[str, ...] = ("element_name", "element_name_en", "full_name")) -> Column:
@@ -58,8 +59,8 @@ def cascade(elements: DataFrame, query: str, dense: DataFrame | None = None, ele
     """Look-up in stages; rows of the first stage that has some: (id, score, stage).
 
     1 the name is the query, score 1. 2 the full name is, for queries with a dot, 1. 3 of the `dense` hits (query's nearest elements
-    (id, score, rank), over-fetched) those with the query in a name, in their order. 4 for ASCII queries of up to 20 characters the first
-    1000 elements by id with the query in a name, 0.9.
+    (id, score, rank), over-fetched) those with the query in a name, in their order. 4 for ASCII queries of up to 20 characters the elements with
+    the query in a name, 0.9. A stage's rows are the first `limit`, by rank in 3, else by id; all elements are looked through.
     """
     own = where(elements, [element_type] if element_type else None)
     no_order = F.lit(0).cast("long")
@@ -71,7 +72,7 @@ def cascade(elements: DataFrame, query: str, dense: DataFrame | None = None, ele
         hits = dense.join(own.filter(named_like(query)), id_col).orderBy("rank").limit(limit)
         parts.append(hits.select(id_col, F.col("score").cast("double").alias("score"), F.lit(3).alias("stage"), F.col("rank").cast("long").alias("_order")))
     if query.isascii() and len(query) <= 20:
-        parts.append(stage(by_id(own, SCROLL, id_col).filter(named_like(query)), 4, F.lit(0.9)))
+        parts.append(stage(own.filter(named_like(query)), 4, F.lit(0.9)))
     every = reduce(DataFrame.unionByName, parts)
     first = F.min("stage").over(Window.partitionBy())  # at most `limit` rows a stage
     return every.withColumn("_first", first).filter("stage = _first").select(id_col, "score", "stage", "_order").orderBy("_order", id_col).drop("_order")
@@ -79,7 +80,10 @@ def cascade(elements: DataFrame, query: str, dense: DataFrame | None = None, ele
 
 def best_of(rows: DataFrame, id_col: str = "id", by: list[str] | None = None) -> DataFrame:
     """Of elements of one name that of the preferred type (property, method, constructor, function, type; others last), ties by id."""
-    w = Window.partitionBy(*(by or [])).orderBy(F.desc(ids.type_priority("element_type")), F.asc(id_col))
+    order = [F.desc(ids.type_priority("element_type")), F.asc(id_col)]
+    if not by:
+        return rows.orderBy(*order).limit(1)
+    w = Window.partitionBy(*by).orderBy(*order)
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
@@ -93,15 +97,15 @@ def element(elements: DataFrame, name: str | None = None, element_type: str | No
             name = rest
     if not (element_id or name):
         raise ValueError("an element's name or id is needed")
-    found = by_id(where(elements, [element_type] if element_type else None, element_name=name, parent_type=parent), ELEMENT_SCROLL, id_col)
-    return found.orderBy(id_col).limit(1) if parent else best_of(found, id_col)
+    found = where(elements, [element_type] if element_type else None, element_name=name, parent_type=parent)
+    return by_id(found, 1, id_col) if parent else best_of(found, id_col)
 
 
 def members(elements: DataFrame, type_name: str, member_type: str | None = None, include_constructors: bool = True, id_col: str = "id") -> DataFrame:
-    """A type's members: constructors, methods, properties, in that order and by id; member_type overrides include_constructors."""
+    """All members of a type: constructors, methods, properties, in that order and by id; member_type overrides include_constructors."""
     types = [member_type] if member_type else [t for t in MEMBER_ORDER if include_constructors or t != "constructor"]
     place = reduce(lambda a, t: F.when(F.col("element_type") == t, MEMBER_ORDER.index(t)).otherwise(a), MEMBER_ORDER, F.lit(len(MEMBER_ORDER)))
-    return by_id(where(elements, types, parent_type=type_name), SCROLL, id_col).withColumn("place", place).orderBy("place", id_col)
+    return where(elements, types, parent_type=type_name).withColumn("place", place).orderBy("place", id_col)
 
 
 def member_counts(elements: DataFrame) -> DataFrame:

@@ -362,12 +362,11 @@ def lookup_full_name(spark, sf_dir):
 
 
 @query(
-    f"""SELECT seq, CAST(0.9 AS DOUBLE) AS score FROM (SELECT * FROM ({ELEMENTS_SQL}) ORDER BY seq LIMIT 1000)
+    f"""SELECT seq, CAST(0.9 AS DOUBLE) AS score FROM ({ELEMENTS_SQL})
     WHERE contains(lower(element_name), 'an') OR contains(lower(element_name_en), 'an') OR contains(lower(full_name), 'an')"""
 )
 def lookup_scan_fallback(spark, sf_dir):
-    rows = elements.by_id(parts(spark, sf_dir), elements.SCROLL, "seq")
-    return rows.filter(elements.named_like("AN")).select("seq", F.lit(0.9).cast("double").alias("score"))
+    return parts(spark, sf_dir).filter(elements.named_like("AN")).select("seq", F.lit(0.9).cast("double").alias("score"))
 
 
 @query(f"""SELECT seq, CAST(1 AS DOUBLE) AS score, 1 AS stage FROM ({ELEMENTS_SQL}) WHERE element_name = {NAME_SQL} ORDER BY seq LIMIT 10""")
@@ -375,6 +374,41 @@ def lookup_cascade(spark, sf_dir):
     return elements.cascade(parts(spark, sf_dir), first_name(spark, sf_dir), id_col="seq")
 
 
+@query(f"""SELECT seq, CAST(1 AS DOUBLE) AS score, 2 AS stage FROM ({ELEMENTS_SQL}) WHERE full_name = (SELECT max(p_type || '.' || p_name) FROM part WHERE p_size % 6 != 4) ORDER BY seq LIMIT 10""")
+def cascade_full_name(spark, sf_dir):
+    """A query with a dot that is no element's name: the second stage."""
+    full = read(spark, sf_dir, "part").filter("p_size % 6 != 4").agg(F.max(F.concat("p_type", F.lit("."), "p_name"))).first()[0]
+    return elements.cascade(parts(spark, sf_dir), full, id_col="seq")
+
+
+@query(
+    f"""SELECT seq, score, 3 AS stage FROM ({ELEMENTS_SQL}) JOIN (SELECT vec_id AS seq, score, rank FROM ({dense_sql(QUERY_0, 50)})) USING (seq)
+    WHERE contains(lower(element_name), 'an') OR contains(lower(element_name_en), 'an') OR contains(lower(full_name), 'an') ORDER BY rank LIMIT 10"""
+)
+def cascade_dense(spark, sf_dir):
+    """A part of names that is no name: the nearest elements with it, the third stage."""
+    e = read(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "seq")
+    near = search.dense_topk(vector_queries(spark, sf_dir).filter("query_id = 0"), e, search.fetch_size("an", 10), "seq")
+    return elements.cascade(parts(spark, sf_dir), "an", near.select("seq", "score", "rank"), id_col="seq")
+
+
+@query(
+    f"""SELECT seq, CAST(0.9 AS DOUBLE) AS score, 4 AS stage FROM ({ELEMENTS_SQL})
+    WHERE contains(lower(element_name), 'an') OR contains(lower(element_name_en), 'an') OR contains(lower(full_name), 'an') ORDER BY seq LIMIT 10"""
+)
+def cascade_scan(spark, sf_dir):
+    """The same without near elements: the last stage, over all elements."""
+    none = spark.createDataFrame([], "seq long, score double, rank int")
+    return elements.cascade(parts(spark, sf_dir), "an", none, id_col="seq")
+
+
+@query(f"""SELECT parent_type, seq, element_type FROM ({ELEMENTS_SQL}) WHERE seq > (SELECT max(p_partkey) // 2 FROM part) ORDER BY seq LIMIT 100""")
+def scroll_page(spark, sf_dir):
+    """A page of a scroll: the 100 elements behind an id."""
+    half = read(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0] // 2
+    return elements.by_id(parts(spark, sf_dir), 100, "seq", half).select("parent_type", "seq", "element_type")
+
+
 @query(
     f"""SELECT element_name, seq, element_type FROM ({ELEMENTS_SQL}) QUALIFY row_number() OVER (PARTITION BY element_name ORDER BY
         CASE element_type WHEN 'property' THEN 5 WHEN 'method' THEN 4 WHEN 'constructor' THEN 3 WHEN 'function' THEN 2 WHEN 'type' THEN 1 ELSE 0 END DESC, seq) = 1"""
@@ -385,7 +419,7 @@ def best_type_pick(spark, sf_dir):
 
 @query(
     f"""SELECT seq, element_type, element_name, CASE element_type WHEN 'constructor' THEN 0 WHEN 'method' THEN 1 ELSE 2 END AS place
-    FROM (SELECT * FROM ({ELEMENTS_SQL}) WHERE parent_type = (SELECT min(p_type) FROM part) AND element_type IN ('constructor', 'method', 'property') ORDER BY seq LIMIT 1000)"""
+    FROM (SELECT * FROM ({ELEMENTS_SQL}) WHERE parent_type = (SELECT min(p_type) FROM part) AND element_type IN ('constructor', 'method', 'property'))"""
 )
 def type_members(spark, sf_dir):
     kind = read(spark, sf_dir, "part").agg(F.min("p_type")).first()[0]
