@@ -47,25 +47,29 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -s))][:k]
 
 
-class _Top:
-    """The k best of each of n queries, over blocks of rows."""
+class Top:
+    """The k best of each of n queries, over blocks of rows: all queries of a block at once."""
 
     def __init__(self, n: int, k: int):
-        self.k, self.held = k, [None] * n
-
-    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
-        """scores: rows x queries; nan where there is none."""
-        for j in range(scores.shape[1]):
-            own, s = ids, scores[:, j]
-            if self.held[j] is not None:
-                own, s = np.concatenate((self.held[j][0], own)), np.concatenate((self.held[j][1], s))
-            at = _best(s, own, self.k)
-            self.held[j] = own[at], s[at]
+        self.n, self.k, self.held = n, k, None
+
+    def add(self, ids: np.ndarray, scores: np.ndarray, queries: np.ndarray | None = None) -> None:
+        """scores: rows x queries (of the given numbers, or all); nan where there is none. Compared at six places, ties by least id."""
+        s = np.floor(scores * 1e6 + 0.5)
+        s[~np.isfinite(s)] = -np.inf
+        bar = np.partition(s, len(s) - self.k, axis=0)[len(s) - self.k] if len(s) > self.k else -np.inf
+        row, column = np.nonzero((s >= bar) & (s > -np.inf))
+        new = [column if queries is None else queries[column], ids[row], scores[row, column], s[row, column]]
+        if self.held is not None:
+            new = [np.concatenate(x) for x in zip(self.held, new, strict=True)]
+        q, i, _, r = new
+        order = np.lexsort((i, -r, q))
+        first = np.searchsorted(q[order], np.arange(self.n))
+        self.held = [x[order[np.arange(len(order)) - first[q[order]] < self.k]] for x in new]
 
     def batch(self, names: list[str], id_type: pa.DataType) -> pa.RecordBatch:
-        some = [(np.full(len(h[0]), j, np.int32), *h) for j, h in enumerate(self.held) if h is not None]
-        q, ids, scores = (np.concatenate(x) for x in zip(*some, strict=True)) if some else (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0))
-        return pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(ids).cast(id_type), pa.array(scores, pa.float64())], names=names)
+        q, ids, scores = self.held[:3] if self.held is not None else (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0))
+        return pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(ids).cast(id_type), pa.array(scores, pa.float64())], names=names)
 
 
 def _ranked(found: DataFrame, names: list, queries: DataFrame, k: int, id_col: str) -> DataFrame:
@@ -132,7 +136,7 @@ def _sparse_block(queries, docs, k, id_col, text, stops, stem, stats) -> DataFra
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, query, own = lists
-        best, id_type = _Top(n, k), None
+        best, id_type = Top(n, k), None
         for whole in batches:
             id_type = whole.schema.field(0).type
             for first in range(0, whole.num_rows, step):
@@ -175,7 +179,7 @@ def _dense_block(queries, rows, k, id_col, embedding) -> DataFrame:
             unit[d] = np.array(at), m / norm[:, None]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, id_type = _Top(len(names), k), None
+        best, id_type = Top(len(names), k), None
         for batch in batches:
             id_type = batch.schema.field(0).type
             lens = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from fathomline.functions import ids, vectors, versions
 from fathomline.functions.text import EXCLUDED_CONTENT, EXCLUDED_NAMES, PAGE_CONTENT, PAGE_PATHS, is_page_content, is_page_name, not_blank, stripped, tokens
-from fathomline.operators import catalog, elements, extract, hygiene, index, progress, records, render, search
+from fathomline.operators import catalog, cells, elements, extract, hygiene, index, inverted, progress, records, render, search
 from fathomline.sources.shared import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -176,6 +176,14 @@ def sparse_topk_stored(spark, sf_dir):
     return search.sparse_topk(queries, read(spark, sf_dir, "documents"), stats=stored_stats(spark, sf_dir))
 
 
+@query(sparse_sql(BENCH))
+def sparse_topk_indexed(spark, sf_dir):
+    """Search of stored postings: the queried terms alone are read."""
+    at = shared_path(spark, "postings")
+    inverted.build(read(spark, sf_dir, "documents"), at)
+    return inverted.Inverted(spark, at).topk(read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+
+
 @query(dense_sql(QUERY_0))
 def dense_topk(spark, sf_dir):
     return search.dense_topk(vector_queries(spark, sf_dir).filter("query_id = 0"), read(spark, sf_dir, "embeddings"))
@@ -198,6 +206,15 @@ def dense_topk_batch(spark, sf_dir):
     return search.in_blocks(queries, lambda q: search.dense_topk(q, e))
 
 
+@query(dense_sql(BENCH_VECTORS))
+def dense_topk_cells(spark, sf_dir):
+    """Search of stored cells of vectors; those that can't hold a better row aren't read."""
+    at, e = shared_path(spark, "cells"), read(spark, sf_dir, "embeddings")
+    cells.build(e, at)
+    queries = read(spark, sf_dir, "benchmark").join(e, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), F.col("embedding").alias("query"))
+    return cells.Cells(spark, at).topk(queries, exact=True)
+
+
 def fused_sql(sparse: str, dense: str, k: int = 10, boost: float = 0.5) -> str:
     return f"""
         WITH s AS ({sparse}), d AS (SELECT query_id, vec_id AS doc_id, score, rank FROM ({dense})),
