@@ -169,7 +169,7 @@ class Cells:
                 bar[r["_q"]] = r["s"][k - 1] if r["n"] >= k else -np.inf
             reach = np.cos(np.clip(np.arccos(np.clip(near, -1, 1)) - self.angle, 0, np.pi))
             found = self._scored(unit, look | (reach >= bar[:, None] - 2e-6), k, id_col, where)
-        return search._ranked(found, names, queries, k, id_col)
+        return search._ranked(found, names, queries.schema["query_id"].dataType, k, id_col)
 
     def _scored(self, unit: np.ndarray, look: np.ndarray, k: int, id_col: str, where) -> DataFrame:
         """(_q, id, score): the k best of each task and query, of the cells that the query looks into."""

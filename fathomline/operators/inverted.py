@@ -11,6 +11,8 @@ highest bound down, scored exactly, and the rest is left out once the k-th score
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
@@ -19,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import DataType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from fathomline.functions.text import tokens
 
@@ -70,6 +72,32 @@ def build(
     old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
 
+def build_next(docs: DataFrame, root: str, **how) -> str:
+    """Build an index in a new folder below root; the folder. Readers of the one before are not disturbed, and a build that fails is never opened."""
+    path = f"{root}/{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    build(docs, path, **how)
+    return path
+
+
+def latest(spark: SparkSession, root: str) -> str | None:
+    """The folder below root of the newest complete index: totals are written last."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return None
+    names = sorted((f.getPath().getName() for f in fs.listStatus(p)), reverse=True)
+    return next((f"{root}/{n}" for n in names if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/totals/_SUCCESS"))), None)
+
+
+def tidied(spark: SparkSession, root: str, keep: set[str | None]) -> None:
+    """Remove the builds below root that aren't to be kept."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    for f in fs.listStatus(p):
+        if f"{root}/{f.getPath().getName()}" not in keep:
+            fs.delete(f.getPath(), True)
+
+
 @dataclass
 class Inverted:
     """An index that `build` wrote, opened for search; its files are listed once."""
@@ -87,42 +115,37 @@ class Inverted:
     def of(self, terms: Iterable[str]) -> DataFrame:
         """Postings of the terms alone: folders by their hashes, row groups by their values."""
         known = sorted(set(terms))
-        literal = self.spark.range(1).select(F.explode(F.array(*[F.lit(t) for t in known]) if known else F.array().cast("array<string>")).alias("t")) if len(known) <= TERMS_IN_FILTER else None
-        if literal is not None:
-            hashes = F.array(*[bucket(F.lit(t), self.totals["n_buckets"]) for t in known])
-            folders = sorted(set(_constant(self.spark, hashes))) if known else []
-            return self.rows.filter(F.col("bucket").isin(folders) & F.col("term").isin(known))
+        if len(known) <= TERMS_IN_FILTER:
+            hashes = _constant(self.spark, F.array(*[bucket(F.lit(t), self.totals["n_buckets"]) for t in known])) if known else []
+            return self.rows.filter(F.col("bucket").isin(sorted(set(hashes))) & F.col("term").isin(known))
         asked = self.spark.createDataFrame([(t,) for t in known], "term string").withColumn("bucket", bucket("term", self.totals["n_buckets"]))
         return self.rows.join(F.broadcast(asked), ["bucket", "term"], "left_semi")
 
     def topk(self, queries: DataFrame, k: int = 10, id_col: str = "doc_id") -> DataFrame:
         """queries (query_id, text) -> (query_id, id, score, rank): what search.sparse_topk gives of the documents that were indexed. In blocks of queries."""
-        return search.in_blocks(queries, lambda block: self._block(block.select("query_id", tokens("text", self.stops, self.stem).alias("t")).collect(), queries.schema["query_id"].dataType, k, id_col))
+        asked = queries.select("query_id", tokens("text", self.stops, self.stem).alias("_t"))
+        return search.over(asked, lambda block: self.of_tokens(block, queries.schema["query_id"].dataType, k, id_col))
 
     def one(self, text: str, k: int = 10, id_col: str = "doc_id") -> DataFrame:
         """The same for one text, as query 0."""
-        found = _constant(self.spark, tokens(F.lit(text), self.stops, self.stem))
-        return self._block([{"query_id": 0, "t": found}], self.spark.range(0).schema["id"].dataType, k, id_col)
+        return self.of_tokens([{"query_id": 0, "_t": self.words(text)}], LongType(), k, id_col)
+
+    def words(self, text: str) -> list[str]:
+        return _constant(self.spark, tokens(F.lit(text), self.stops, self.stem))
 
-    def _block(self, asked: list, kind, k: int, id_col: str) -> DataFrame:
-        names = [r["query_id"] for r in asked]
-        queries = [Counter(r["t"]) for r in asked]
+    def of_tokens(self, asked: list, kind: DataType, k: int, id_col: str) -> DataFrame:
+        """asked: rows of query_id, of type kind, and tokens _t."""
+        queries = [Counter(r["_t"]) for r in asked]
         id_type = self.rows.schema["blocks"].dataType.elementType["ids"].dataType.elementType
         schema = StructType([StructField("_q", IntegerType()), StructField(id_col, id_type), StructField("score", DoubleType())])
         score = _scorer(queries, self.totals["total_docs"], self.totals["n_cells"], k, id_col)
         rows = self.of({t for q in queries for t in q}).select("shard", "term", "df", "blocks")
-        found = rows.groupBy("shard").applyInArrow(score, schema)
-        if len(names) == 1:
-            d = found.select(F.lit(names[0]).cast(kind).alias("query_id"), id_col, F.round("score", 6).alias("score"))
-            return search.top(d, k, id_col=id_col)
-        named = self.spark.createDataFrame(list(enumerate(names)), StructType([StructField("_q", IntegerType()), StructField("query_id", kind)]))
-        d = found.join(F.broadcast(named), "_q").select("query_id", id_col, F.round("score", 6).alias("score"))
-        return search.top(d, k, id_col=id_col)
+        return search._ranked(rows.groupBy("shard").applyInArrow(score, schema), [r["query_id"] for r in asked], kind, k, id_col)
 
 
 def _constant(spark: SparkSession, column):
-    """The value of an expression without inputs; the optimizer computes it, without a job."""
-    return spark.range(1).select(column.alias("x")).first()["x"]
+    """The value of an expression without inputs; over literal rows the optimizer computes it, without a job."""
+    return spark.sql("SELECT * FROM VALUES (1) AS t(one)").select(column.alias("x")).collect()[0]["x"]
 
 
 class Shard:

@@ -13,9 +13,9 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import DataType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from fathomline.functions.text import tokens
@@ -72,10 +72,12 @@ class Top:
         return pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(ids).cast(id_type), pa.array(scores, pa.float64())], names=names)
 
 
-def _ranked(found: DataFrame, names: list, queries: DataFrame, k: int, id_col: str) -> DataFrame:
-    """found (_q, id, score): the k best of each task -> of all, with the queries' own ids."""
-    kind = queries.schema["query_id"].dataType
-    named = queries.sparkSession.createDataFrame(list(enumerate(names)), StructType([StructField("_q", IntegerType()), StructField("query_id", kind)]))
+def _ranked(found: DataFrame, names: list, kind: DataType, k: int, id_col: str) -> DataFrame:
+    """found (_q, id, score): the k best of each task -> of all, with the queries' own ids, of type kind."""
+    if len(names) == 1:
+        one = found.select(F.lit(names[0]).cast(kind).alias("query_id"), id_col, F.round("score", 6).alias("score"))
+        return top(one, k, id_col=id_col)
+    named = found.sparkSession.createDataFrame(list(enumerate(names)), StructType([StructField("_q", IntegerType()), StructField("query_id", kind)]))
     d = found.join(F.broadcast(named), "_q").select("query_id", id_col, F.round("score", 6).alias("score"))
     return top(d, k, id_col=id_col)
 
@@ -86,12 +88,12 @@ def sparse_topk(queries: DataFrame, docs: DataFrame, k: int = 10, id_col: str =
     Documents are tokenised once: what the queries' terms occur in each is stored, counted for the statistics (unless `stats`, from
     index.load, are given) and scored in the document's own row, so a task sends k rows a query. Queries, a stated set, go out in blocks.
     """
-    return in_blocks(queries, lambda block: _sparse_block(block, docs, k, id_col, text, stops, stem, stats))
+    asked = queries.select("query_id", tokens("text", stops, stem).alias("_t"))
+    return over(asked, lambda block: _sparse_block(block, queries.schema["query_id"].dataType, docs, k, id_col, text, stops, stem, stats))
 
 
-def _sparse_block(queries, docs, k, id_col, text, stops, stem, stats) -> DataFrame:
+def _sparse_block(asked: list[Row], of_kind: DataType, docs, k, id_col, text, stops, stem, stats) -> DataFrame:
     spark = docs.sparkSession
-    asked = queries.select("query_id", tokens("text", stops, stem).alias("_t")).collect()
     names = [r["query_id"] for r in asked]
     terms = {t: i for i, t in enumerate(sorted({t for r in asked for t in r["_t"]}))}
     wanted = spark.sparkContext.broadcast(terms) if hasattr(spark, "sparkContext") else None
@@ -154,7 +156,7 @@ def _sparse_block(queries, docs, k, id_col, text, stops, stem, stats) -> DataFra
         if id_type is not None:
             yield best.batch(["_q", id_col, "score"], id_type)
 
-    return _ranked(held.mapInArrow(score, f"_q int, {id_col} {kind}, score double"), names, queries, k, id_col)
+    return _ranked(held.mapInArrow(score, f"_q int, {id_col} {kind}, score double"), names, of_kind, k, id_col)
 
 
 def dense_topk(queries: DataFrame, rows: DataFrame, k: int = 10, id_col: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -162,11 +164,12 @@ def dense_topk(queries: DataFrame, rows: DataFrame, k: int = 10, id_col: str = "
 
     Queries, a stated set, go out in blocks as a matrix of unit rows; a batch of rows is scored in one product, and a task sends k rows a query.
     """
-    return in_blocks(queries, lambda block: _dense_block(block, rows, k, id_col, embedding))
+    asked = queries.filter("query IS NOT NULL").select("query_id", F.col("query").cast("array<double>").alias("query"))
+    return over(asked, lambda block: _dense_block(block, queries.schema["query_id"].dataType, rows, k, id_col, embedding))
 
 
-def _dense_block(queries, rows, k, id_col, embedding) -> DataFrame:
-    asked = [r for r in queries.filter("query IS NOT NULL").select("query_id", F.col("query").cast("array<double>").alias("query")).collect() if r["query"] and None not in r["query"]]
+def _dense_block(asked: list[Row], of_kind: DataType, rows, k, id_col, embedding) -> DataFrame:
+    asked = [r for r in asked if r["query"] and None not in r["query"]]
     kind = rows.schema[id_col].dataType.simpleString()
     names = [r["query_id"] for r in asked]
     sizes = sorted({len(r["query"]) for r in asked})
@@ -197,7 +200,16 @@ def _dense_block(queries, rows, k, id_col, embedding) -> DataFrame:
             yield best.batch(["_q", id_col, "score"], id_type)
 
     found = rows.select(id_col, embedding).filter(F.col(embedding).isNotNull()).mapInArrow(score, f"_q int, {id_col} {kind}, score double")
-    return _ranked(found, names, queries, k, id_col)
+    return _ranked(found, names, of_kind, k, id_col)
+
+
+def over(queries: DataFrame, search, size: int = QUERIES_A_PASS) -> DataFrame:
+    """search(rows of queries), once for a set of up to `size`, which is computed once; else over blocks of about that many."""
+    some = queries.limit(size + 1).collect()
+    if len(some) <= size:
+        return search(some)
+    n = -(-queries.count() // size)
+    return reduce(DataFrame.unionByName, [search(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i).collect()) for i in range(n)])
 
 
 def in_blocks(queries: DataFrame, search, size: int = QUERIES_A_PASS) -> DataFrame:
@@ -226,15 +238,23 @@ def rrf(sparse: DataFrame, dense: DataFrame, k: int = 10, boost: float = SPARSE_
     return top(d, k, id_col=id_col, tie=tie).select("query_id", id_col, "score", "rank", "sparse_rank", "dense_rank")
 
 
-def hybrid(queries: DataFrame, docs: DataFrame, rows: DataFrame, k: int = 10, boost: float = SPARSE_BOOST, stops: list[str] | None = None, id_col: str = "doc_id", stem=None, stats: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """queries (query_id, text, query), docs (id, text), rows (id, embedding): sparse and dense top-k, fused.
+def hybrid(
+    queries: DataFrame, docs: DataFrame | None, rows: DataFrame, k: int = 10, boost: float = SPARSE_BOOST, stops: list[str] | None = None, id_col: str = "doc_id", stem=None,
+    stats: tuple[DataFrame, DataFrame] | None = None, index=None, constant: int = RRF_K,
+) -> DataFrame:
+    """queries (query_id, text, query), docs (id, text), rows (id, embedding): sparse and dense top-k, fused. The queries are computed once.
 
-    A query without known terms gets the dense list, one without a vector the sparse list.
+    A query without known terms gets the dense list, one without a vector the sparse list. index: stored postings (inverted.Inverted) to search
+    instead of docs; they have to be built with the same stops and stem.
     """
+    kind = queries.schema["query_id"].dataType
+    asked = queries.select("query_id", tokens("text", stops, stem).alias("_t"), F.col("query").cast("array<double>").alias("query"))
+
+    def both(block: list[Row]) -> DataFrame:
+        sparse = _sparse_block(block, kind, docs, k, id_col, "text", stops, stem, stats) if index is None else index.of_tokens(block, kind, k, id_col)
+        return rrf(sparse, _dense_block(block, kind, rows, k, id_col, "embedding"), k, boost, constant, id_col=id_col)
 
-    sparse = sparse_topk(queries.select("query_id", "text"), docs, k, id_col, stops=stops, stem=stem, stats=stats)
-    dense = dense_topk(queries.select("query_id", "query").filter("query IS NOT NULL"), rows, k, id_col)
-    return rrf(sparse, dense, k, boost, id_col=id_col)
+    return over(asked, both)
 
 
 def overfetched(hits: DataFrame, query: str, names: list[str], limit: int) -> DataFrame:

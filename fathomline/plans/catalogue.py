@@ -166,7 +166,7 @@ def sparse_topk(spark, sf_dir):
 def sparse_topk_batch(spark, sf_dir):
     queries = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     docs = read(spark, sf_dir, "documents")
-    return search.in_blocks(queries, lambda q: search.sparse_topk(q, docs))
+    return search.sparse_topk(queries, docs)
 
 
 @query(sparse_sql(BENCH))
@@ -203,7 +203,7 @@ def dense_filter_in(spark, sf_dir):
 def dense_topk_batch(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings")
     queries = read(spark, sf_dir, "benchmark").join(e, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), F.col("embedding").alias("query"))
-    return search.in_blocks(queries, lambda q: search.dense_topk(q, e))
+    return search.dense_topk(queries, e)
 
 
 @query(dense_sql(BENCH_VECTORS))
