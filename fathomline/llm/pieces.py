@@ -33,11 +33,11 @@ BLOCK_CHARS = 16_000_000
 #: Words of a block that are numbered by frequency, so that their places take one or two bytes.
 FREQUENT = 16_383
 #: Positions that are turned into ids at once.
-SLICE = 2_000_000
+SLICE = 250_000
 #: A byte that UTF-8 doesn't have.
 SEP = b"\xff"
 #: Segmented words that a task remembers; more begin anew, so that memory is bounded.
-TABLE = 4_000_000
+TABLE = 500_000
 
 
 def model_bytes(path: str) -> bytes:
@@ -120,11 +120,12 @@ def _hash(word: bytes, n: int) -> int:
     return crc32(word) % n
 
 
-def encode(docs: DataFrame, model: str, text: str = "text", out: str = "ids", bos: bool = False, eos: bool = True, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def encode(docs: DataFrame, model: str, text: str = "text", out: str = "ids", bos: bool = False, eos: bool = True, block_chars: int = BLOCK_CHARS, back: str | None = None) -> DataFrame:
     """docs without `text`, with `out`: array<int>, the ids that the sentencepiece library gives for the whole text, one row a row.
 
     model: path of a model on the driver, of any kind whose pieces don't cross markers; its bytes go out to tasks. A null text is an empty one (only bos and eos). Texts of any length are one
     row of a block, a word of any length is one entry. Equal rows each have their ids; columns of any name but `out` stay, which it replaces.
+    back: a column with what the library decodes the ids to, made where they are put together.
     docs whose plan deals rows out anew are stored first, so that a block that has to be made again is the same.
     """
     spark = docs.sparkSession
@@ -137,7 +138,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", out: str = "ids", bo
     shared = spark.sparkContext.broadcast(proto)
     wide = np.uint16 if sp.get_piece_size() <= 1 << 16 else np.uint32
     ends = ([sp.bos_id()] if bos else []), ([sp.eos_id()] if eos else [])
-    others = [c for c in docs.columns if c not in (text, out)]
+    others = [c for c in docs.columns if c not in (text, out, back)]
     rest = docs.select(*others)
     row = packed(rest) if others else F.struct(F.lit(0).alias("_")).alias("_row")
     kind = docs.select(row).schema[0].dataType.simpleString()
@@ -168,8 +169,8 @@ def encode(docs: DataFrame, model: str, text: str = "text", out: str = "ids", bo
             number = np.concatenate(([0, 1], number))
             i = 0
             for part in rows:
-                for start in range(0, part.num_rows, 2000):
-                    few = part.slice(start, 2000)
+                for start in range(0, part.num_rows, 500):
+                    few = part.slice(start, 500)
                     own = places[i : i + few.num_rows]
                     i += few.num_rows
                     data, took = _packed_ints(number[np.concatenate(own)])
@@ -247,9 +248,10 @@ def encode(docs: DataFrame, model: str, text: str = "text", out: str = "ids", bo
         number, long, ids = np.concatenate(numbers), np.concatenate(lens), np.concatenate(flat)
         start, size = np.full(int(number.max()) + 1, -1), np.zeros(int(number.max()) + 1, np.int64)
         start[number], size[number] = np.cumsum(long) - long, long
+        decode = processor(shared.value).decode if back else None
         for b in documents:
             b = b.filter(b.column("at").is_valid())
-            step = 1000
+            step = 250
             for first in range(0, b.num_rows, step):
                 few = b.slice(first, step)
                 at = _unpacked_ints(_bytes_of(few.column("at")))
@@ -265,13 +267,16 @@ def encode(docs: DataFrame, model: str, text: str = "text", out: str = "ids", bo
                     m = int(n_own.sum())
                     values[lo : lo + m] = ids[np.repeat(start[a] - (np.cumsum(n_own) - n_own), n_own) + np.arange(m)]
                 offsets = np.concatenate(([0], ends_at[stops])).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([few.column("_row"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["_row", "ids"])
+                cols = [few.column("_row"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))]
+                if decode:
+                    cols.append(pa.array([decode(values[i:j].tolist()) for i, j in zip(offsets[:-1], offsets[1:], strict=True)], pa.string()))
+                yield pa.RecordBatch.from_arrays(cols, names=["_row", "ids", "back"][: len(cols)])
 
     dealt = docs.select(row, F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(dictionaries, f"k long, _row {kind}, at binary, block long, first long, top binary, words binary")
     dealt = dealt.repartition(n, "k")
     tables = dealt.mapInArrow(segmented, "k long, first long, top binary, counts binary, own binary")
-    done = _cogrouped(dealt, tables, joined, f"_row {kind}, ids array<int>")
-    return done.select(*(unpacked(rest) if others else []), F.col("ids").alias(out))
+    done = _cogrouped(dealt, tables, joined, f"_row {kind}, ids array<int>" + (", back string" if back else ""))
+    return done.select(*(unpacked(rest) if others else []), F.col("ids").alias(out), *([F.col("back").alias(back)] if back else []))
 
 
 def _cogrouped(left: DataFrame, right: DataFrame, f, schema: str) -> DataFrame:
@@ -306,6 +311,6 @@ def report(docs: DataFrame, model: str) -> DataFrame:
 
     A null text is an empty one: the end id alone. Repeated rows each have their row.
     """
-    d = encode(docs.select("doc_id", "text"), model)
+    d = encode(docs.select("doc_id", "text"), model, back="decoded")
     joined = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
-    return d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2(decoded("ids", model), 256).alias("decoded_sha256"))
+    return d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -69,7 +69,8 @@ def test_many_words_and_a_very_long_text(spark):
 
 def test_round_trip_of_ids(spark):
     texts = [t for t in ODD if t and "▁" not in t]
-    d = pieces.encode(plain(spark, texts), MODEL)
+    d = pieces.encode(plain(spark, texts), MODEL, back="again")
+    assert {r["doc_id"]: r["again"] for r in d.collect()} == dict(enumerate(texts))
     got = {r["doc_id"]: r["t"] for r in d.select("doc_id", pieces.decoded("ids", MODEL).alias("t")).collect()}
     assert got == dict(enumerate(texts))
     assert spark.range(1).select(pieces.decoded(pieces.F.lit(None).cast("array<int>"), MODEL)).first()[0] is None
