@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from fathomline.functions import ids, vectors, versions
 from fathomline.functions.text import EXCLUDED_CONTENT, EXCLUDED_NAMES, PAGE_CONTENT, PAGE_PATHS, is_page_content, is_page_name, not_blank, stripped, tokens
 from fathomline.operators import catalog, cells, elements, extract, hygiene, index, inverted, progress, records, render, search
+from fathomline.sources import datasource
 from fathomline.sources.shared import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -750,6 +751,21 @@ def page_index_text(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", extract.index_text(extract.title("html"), "url").alias("text"))
 
 
+@query(
+    """SELECT '8.3.' || page_id % 5 AS version, page_id || '.html' AS path, md5(coalesce(html, '')) AS html_md5, CAST(strlen(coalesce(html, '')) AS BIGINT) AS size
+    FROM pages WHERE page_id % 5 IN (1, 3) AND starts_with(CAST(page_id AS VARCHAR), '1')"""
+)
+def archive_files(spark, sf_dir):
+    """Pages written to archive files by the archive source, and those of two versions and some paths read back: other files aren't opened."""
+    datasource.register(spark)
+    at, n = shared_path(spark, "archives"), F.col("page_id")
+    rows = read(spark, sf_dir, "pages").select(F.format_string("8.3.%d/a%d_ru.hbk", n % 5, F.floor(n / 5) % 4).alias("archive"), F.concat(n.cast("string"), F.lit(".html")).alias("path"), "html")
+    rows.repartition(8, "archive").sortWithinPartitions("archive", "path").write.format(datasource.NAME).mode("append").save(at)
+    d = spark.read.format(datasource.NAME).option("path", at).option("onlyHelp", "false").load()
+    d = d.filter(F.col("version").isin("8.3.1", "8.3.3") & F.col("path").startswith("1"))
+    return d.select("version", "path", F.md5("html").alias("html_md5"), "size")
+
+
 @query("""SELECT page_id, url AS path, md5(html) AS html_md5 FROM pages""")
 def archive_round_trip(spark, sf_dir):
     """Pages written to archives and read back by the archive source."""

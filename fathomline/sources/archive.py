@@ -32,22 +32,27 @@ def _hex(data: bytes, at: int) -> int:
         return 0
 
 
-def entities(data: bytes) -> dict[str, bytes]:
-    """The entities of a container; entries that aren't in use and those whose bytes are cut off are left out."""
-    start = 16 + 2 + 9 + 9 + 11
-    listed = data[start : start + _hex(data, 18)]
+def places(read, size: int) -> dict[str, tuple[int, int]]:
+    """(first byte, length) of the entities of a container of `size` bytes, of which read(at, n) gives some; entries that aren't in use and
+    those whose bytes are cut off are left out."""
+    listed = read(16 + 2 + 9 + 9 + 11, _hex(read(16, 31), 2))
     out = {}
     for header, body, reserved in struct.iter_unpack("<III", listed[: len(listed) // 12 * 12]):
         if reserved != LAST:
             continue
-        at, length = header + 2 + 9 + NAME_GAP, _hex(data, header + 2) - 24
-        name = data[at : at + length].decode("utf-16-le", "replace").rstrip("\0").strip('"') if length > 0 and at + length <= len(data) else ""
-        at, length = body + 2 + 9 + BODY_GAP, _hex(data, body + 2)
-        if name and at + length <= len(data):
-            out[name] = data[at : at + length]
+        length = _hex(read(header, 2 + 9), 2) - 24
+        name = read(header + 2 + 9 + NAME_GAP, length) if length > 0 else b""
+        at, size_of_body = body + 2 + 9 + BODY_GAP, _hex(read(body, 2 + 9), 2)
+        if len(name) == length and at + size_of_body <= size and (text := name.decode("utf-16-le", "replace").rstrip("\0").strip('"')):
+            out[text] = at, size_of_body
     return out
 
 
+def entities(data: bytes) -> dict[str, bytes]:
+    """The entities of a container by their names."""
+    return {name: data[at : at + n] for name, (at, n) in places(lambda at, n: data[at : at + n], len(data)).items()}
+
+
 def container(parts: dict[str, bytes]) -> bytes:
     """A container of the given entities, as `entities` reads it."""
     listed, blocks, at = b"", b"", 16 + 31 + 12 * len(parts)
@@ -145,7 +150,7 @@ def _files(spark: SparkSession, path: str, glob: str, least: int) -> DataFrame:
     return found.filter(F.col("length") >= least).select("path", "content")
 
 
-def read_pages(spark: SparkSession, path: str, glob: str = "*.{hbk,res}", order: tuple[str, ...] = ("utf-8", "cp1251"), only_help: bool = True) -> DataFrame:
+def read_pages(spark: SparkSession, path: str, glob: str = "*_ru.{hbk,res}", order: tuple[str, ...] = ("utf-8", "cp1251"), only_help: bool = True) -> DataFrame:
     """The pages of all archives below a folder, which only Spark needs to reach: archive, path, html, size (of the archive's entry)."""
 
     def run(batches):
@@ -157,7 +162,7 @@ def read_pages(spark: SparkSession, path: str, glob: str = "*.{hbk,res}", order:
     return _files(spark, path, glob, 16).mapInPandas(run, PAGES)
 
 
-def read_toc(spark: SparkSession, path: str, glob: str = "*.{hbk,res}", order: tuple[str, ...] = ("utf-8", "cp1251")) -> DataFrame:
+def read_toc(spark: SparkSession, path: str, glob: str = "*_ru.{hbk,res}", order: tuple[str, ...] = ("utf-8", "cp1251")) -> DataFrame:
     """The tables of contents of all archives below a folder."""
 
     def run(batches):
