@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import fnmatch
 import io
+import itertools
 import re
 import uuid
 import zipfile
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -209,44 +211,48 @@ class ArchiveWriter(DataSourceArrowWriter):
         self.path, self.overwrite = path, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        """One archive after the other, in memory; its rows (archive, path, html) stand together, as repartition and sortWithinPartitions by archive put them."""
+        """One archive after the other, in memory; its rows (archive, path, html) stand together, as repartition and sortWithinPartitions by archive put them.
+        A task that fails takes its own files away."""
         store, root = pafs.FileSystem.from_uri(self.path)
-        done: list[tuple[str, str]] = []
-        name, body, z = None, None, None
-
-        def close():
-            z.close()
-            final = f"{root}/{name}"
-            kept = f"{final.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}.part"
-            store.create_dir(final.rsplit("/", 1)[0], recursive=True)
-            with store.open_output_stream(kept) as out:
-                out.write(A.container({"FileStorage": body.getvalue()}))
-            done.append((kept, final))
-
-        for batch in iterator:
-            d = batch.select(["archive", "path", "html"]).to_pydict()
-            for a, p, h in zip(d["archive"], d["path"], d["html"], strict=True):
-                if a is None or p is None:
-                    raise ValueError("a page to write has no archive or path")
-                if a != name:
-                    if name is not None:
-                        close()
-                    if any(final == f"{root}/{a}" for _, final in done):
-                        raise ValueError(f"the rows of {a} don't stand together: sort by archive")
-                    name, body = a, io.BytesIO()
-                    z = zipfile.ZipFile(body, "w", zipfile.ZIP_DEFLATED)
-                z.writestr(zipfile.ZipInfo(p), (h or "").encode(), zipfile.ZIP_DEFLATED)
-        if name is not None:
-            close()
-        return Written(done)
+        done: dict[str, str] = {}
+        try:
+            for name, body in self._bodies(iterator):
+                final = f"{root}/{name}"
+                if final in done:
+                    raise ValueError(f"the rows of {name} don't stand together: sort by archive")
+                folder = final.rsplit("/", 1)[0]
+                done[final] = f"{folder}/.{uuid.uuid4().hex}.part"
+                store.create_dir(folder, recursive=True)
+                with store.open_output_stream(done[final]) as out:
+                    out.write(A.container({"FileStorage": body}))
+        except BaseException:
+            self._removed(store, done.values())
+            raise
+        return Written([(kept, final) for final, kept in done.items()])
+
+    def _bodies(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+        rows = (r for b in batches for r in zip(*b.select(["archive", "path", "html"]).to_pydict().values(), strict=True))
+        for name, own in itertools.groupby(rows, key=lambda r: r[0]):
+            body = io.BytesIO()
+            with zipfile.ZipFile(body, "w", zipfile.ZIP_DEFLATED) as z:
+                for _, path, html in own:
+                    if name is None or path is None:
+                        raise ValueError("a page to write has no archive or path")
+                    z.writestr(zipfile.ZipInfo(path), (html or "").encode(), zipfile.ZIP_DEFLATED)
+            yield name, body.getvalue()
+
+    def _removed(self, store, files) -> None:
+        for f in files:
+            if store.get_file_info(f).type != pafs.FileType.NotFound:
+                store.delete_file(f)
 
     def commit(self, messages: list[Written | None]) -> None:
         store, root = pafs.FileSystem.from_uri(self.path)
         files = [f for m in messages if m for f in m.files]
-        twice = {final for _, final in files if sum(final == other for _, other in files) > 1} if len({x for _, x in files}) < len(files) else set()
+        twice = [final for final, n in Counter(final for _, final in files).items() if n > 1]
         if twice:
             self.abort(messages)
-            raise ValueError(f"several tasks wrote {sorted(twice)[0]}: repartition by archive")
+            raise ValueError(f"several tasks wrote {min(twice)}: repartition by archive")
         if self.overwrite:
             mine = {kept for kept, _ in files}
             for f in store.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True)):
@@ -257,6 +263,4 @@ class ArchiveWriter(DataSourceArrowWriter):
 
     def abort(self, messages: list[Written | None]) -> None:
         store, _ = pafs.FileSystem.from_uri(self.path)
-        for kept in (kept for m in messages if m for kept, _ in m.files):
-            if store.get_file_info(kept).type != pafs.FileType.NotFound:
-                store.delete_file(kept)
+        self._removed(store, [kept for m in messages if m for kept, _ in m.files])
