@@ -17,6 +17,7 @@ from fathomline.functions.text import EXCLUDED_CONTENT, EXCLUDED_NAMES, PAGE_CON
 from fathomline.operators import catalog, cells, elements, extract, hygiene, index, inverted, progress, records, render, search
 from fathomline.sources import datasource
 from fathomline.sources.shared import shared_path
+from fathomline.streaming import maintain
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -121,6 +122,24 @@ def stats_round_trip(spark, sf_dir):
     return terms.crossJoin(F.broadcast(totals.select("total_docs")))
 
 
+CHANGED_SQL = f"""SELECT unnest(list_distinct({TOK.format("CASE WHEN doc_id % 3 = 0 THEN text ELSE substr(text, 1, 200) END")})) AS term FROM documents WHERE doc_id % 5 != 1"""
+
+
+@query(f"""SELECT term, CAST(count(*) AS BIGINT) AS df, (SELECT CAST(count(*) AS BIGINT) FROM documents WHERE doc_id % 5 != 1) AS total_docs FROM ({CHANGED_SQL}) GROUP BY term""")
+def stream_term_stats(spark, sf_dir):
+    """Statistics after a stream of inserts of shortened texts, whole texts for a third of them, and deletions of a fifth."""
+    at, d = shared_path(spark, "changes"), read(spark, sf_dir, "documents")
+    change = lambda rows, op, seq, text: rows.select(F.col("doc_id").alias("id"), F.lit(op).alias("op"), F.lit(seq).cast("long").alias("seq"), text.alias("text"))
+    steps = [change(d, "upsert", 1, F.substring("text", 1, 200)), change(d.filter("doc_id % 3 = 0"), "upsert", 2, F.col("text")), change(d.filter("doc_id % 5 = 1"), "delete", 3, F.lit(None).cast("string"))]
+    for i, rows in enumerate(steps):
+        rows.coalesce(1).write.mode("append").parquet(f"{at}/in")
+        maintain.maintain(spark.readStream.schema(rows.schema).parquet(f"{at}/in"), f"{at}/stats", f"{at}/checkpoint").awaitTermination()
+        if i == 1:
+            maintain.compact(spark, f"{at}/stats")
+    terms, totals = maintain.statistics(spark, f"{at}/stats")
+    return terms.crossJoin(F.broadcast(totals.select("total_docs")))
+
+
 # Search.
 
 
