@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from fathomline.functions import ids, vectors, versions
 from fathomline.functions.text import EXCLUDED_CONTENT, EXCLUDED_NAMES, PAGE_CONTENT, PAGE_PATHS, is_page_content, is_page_name, not_blank, stripped, tokens
-from fathomline.operators import catalog, cells, elements, extract, hygiene, index, inverted, progress, records, render, search
+from fathomline.operators import catalog, cells, elements, extract, hygiene, index, inverted, progress, records, render, search, temporal
 from fathomline.sources import datasource
 from fathomline.sources.shared import shared_path
 from fathomline.streaming import maintain
@@ -892,3 +892,32 @@ def encoded_search(spark, sf_dir):
 @query("""SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) = text AS clean FROM documents""")
 def stripped_text(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", (stripped("text") == F.col("text")).alias("clean"))
+
+
+# Joins by time, over a shop's tables.
+
+SALES_SQL = "SELECT client_id, sold_at, max(sale_id) AS sale_id FROM sales WHERE client_id IS NOT NULL AND sold_at IS NOT NULL GROUP BY ALL"
+
+
+@query(
+    f"""SELECT click_id, c.client_id, CAST(ts AS VARCHAR) AS ts, sale_id, date_diff('microsecond', sold_at, ts) AS since
+    FROM clicks c ASOF LEFT JOIN ({SALES_SQL}) s ON c.client_id = s.client_id AND c.ts >= s.sold_at"""
+)
+def asof_clicks_sales(spark, sf_dir):
+    """Each click with its client's last sale up to then."""
+    clicks, sales = read(spark, sf_dir, "clicks").select("click_id", "client_id", "ts"), read(spark, sf_dir, "sales").select("client_id", "sold_at", "sale_id")
+    d = temporal.asof(clicks, sales, {"client_id": "client_id"}, ("ts", "sold_at"), ["sale_id"])
+    since = temporal.micros(d, "ts") - temporal.micros(sales, "sold_at", "match")
+    return d.select("click_id", "client_id", F.regexp_replace(F.col("ts").cast("string"), r"\.0+$", "").alias("ts"), "match.sale_id", since.alias("since"))
+
+
+@query(
+    """SELECT sale_id, count(*) AS n_clicks, CAST(sum(click_id) AS BIGINT) AS click_sum FROM sales s JOIN clicks c
+    ON c.client_id = s.client_id AND c.ts >= s.sold_at - INTERVAL 5 MINUTE AND c.ts < s.sold_at GROUP BY sale_id"""
+)
+def interval_clicks_sales(spark, sf_dir):
+    """The clicks of a sale's client in the five minutes before it."""
+    clicks, sales = read(spark, sf_dir, "clicks").select("click_id", "client_id", "ts"), read(spark, sf_dir, "sales").select("client_id", "sold_at", "sale_id")
+    sales = sales.withColumn("since", F.expr("sold_at - INTERVAL 5 MINUTE"))
+    d = temporal.in_intervals(clicks, sales, {"client_id": "client_id"}, "ts", "since", "sold_at", 1_000_000)
+    return d.groupBy("interval.sale_id").agg(F.count("*").alias("n_clicks"), F.sum("point.click_id").alias("click_sum"))
