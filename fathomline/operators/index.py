@@ -21,7 +21,7 @@ def token_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", by:
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text: str = "text", by: list[str] | None = None, stops: list[str] | None = None, stem=None) -> DataFrame:
     """(by..., id, term, tf). Counted inside each document's row, so nothing is shuffled."""
-    ts = F.array_sort(tokens(text, stops, stem))
+    ts = F.sort_array(tokens(text, stops, stem))
     # Runs of a sorted array: a term's count is the distance between its first places and the next term's.
     d = docs.select(*(by or []), id_col, ts.alias("_t")).withColumn(
         "_p", F.expr("filter(transform(_t, (t, i) -> IF(i = 0 OR t != _t[i - 1], named_struct('term', t, 'at', i), NULL)), x -> x IS NOT NULL)")

@@ -1,9 +1,9 @@
 """A stored inverted index: postings on disk by term, with block maxima, and top-k search that reads the queried terms alone.
 
-Layout. Documents belong to a shard and, in it, to a cell of about 128, both by a hash of their id. A row of `postings` is a term in a shard: its
-document frequency in the whole corpus and its blocks, one a cell, each with ids, term frequencies and the greatest of them. So a common
-term is many rows, none larger than a shard. Rows lie in folders by a hash of the term, sorted by term within a file: a query's folders are
-picked when it is planned, its row groups by the terms' least and greatest values.
+Layout. Documents belong to a shard and, in it, to a cell of about 128, both by a hash of their id. A row of `postings` is a term in a shard: how many
+of its documents have it, and its blocks, one a cell, each with ids, term frequencies and the greatest of them. So a common term is many rows,
+none larger than a shard. Rows lie in folders by a hash of the term, sorted by term within a file: a query's folders are picked when it is
+planned, its row groups by the terms' least and greatest values. Postings are dealt out once, by folder and group of shards.
 
 Search. All rows of a shard that a query needs meet in one task. A cell can't give more than the sum of its blocks' bounds; cells are taken from the
 highest bound down, scored exactly, and the rest is left out once the k-th score is above what they could reach. Results are those of a full scan.
@@ -11,14 +11,16 @@ highest bound down, scored exactly, and the rest is left out once the k-th score
 
 from __future__ import annotations
 
+import itertools
 import time
 import uuid
 from collections import Counter
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DoubleType, IntegerType, LongType, StructField, StructType
@@ -30,6 +32,7 @@ from . import index, search
 SHARD_DOCS, CELL_DOCS = 1 << 16, 128
 #: Terms up to this many are a list in the scan's filter; more are joined to it, with the same folders picked.
 TERMS_IN_FILTER = 2000
+POSTINGS_A_FILE, LEAST_BUCKETS, MOST_BUCKETS = 10_000_000, 8, 4096
 #: Cells that are scored before the bar is looked at again.
 CELLS_A_STEP = 16
 
@@ -53,23 +56,50 @@ def build(
         raise ValueError("a corpus without documents has no index")
     n_shards = -(-totals["total_docs"] // shard_docs)
     n_cells = -(-min(shard_docs, totals["total_docs"]) // cell_docs)
-    n_buckets = buckets or max(1, min(4096, totals["total_docs"] // 2000))
+    # Files of about POSTINGS_A_FILE: by folder first, then by group of shards.
+    files = int(totals["total_docs"] * (totals["avg_doc_length"] or 0)) // POSTINGS_A_FILE + 1
+    n_buckets = buckets or max(LEAST_BUCKETS, min(MOST_BUCKETS, files))
+    groups = min(n_shards, -(-files // n_buckets))
     h = F.xxhash64(F.lit(1), F.col("_id"))
     posts = posts.withColumn("shard", F.pmod(h, F.lit(n_shards)).cast("int")).withColumn("cell", F.pmod(F.shiftright(h, 32), F.lit(n_cells)).cast("int"))
-    # Dealt out once: both groupings below and the document frequencies of shards find a shard's term in one place.
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = posts.repartition(n, "shard", "term").groupBy("shard", "term", "cell").agg(F.max("tf").cast("int").alias("most"), F.sort_array(F.collect_list(F.struct("_id", F.col("tf").cast("int").alias("tf")))).alias("p"))
-    block = F.struct("cell", "most", F.col("p._id").alias("ids"), F.col("p.tf").alias("tfs"))
-    rows = blocks.groupBy("shard", "term").agg(F.sum(F.size("p")).alias("n"), F.sort_array(F.collect_list(block)).alias("blocks"))
-    rows.write.mode("overwrite").parquet(f"{path}/_parts")
-    parts = spark.read.schema(rows.schema).parquet(f"{path}/_parts")
-    dfs = parts.groupBy("term").agg(F.sum("n").alias("df"))
-    done = parts.join(dfs, "term").withColumn("bucket", bucket("term", n_buckets)).select("bucket", "term", "shard", "df", "blocks")
-    done.repartitionByRange(n, "bucket", "term", "shard").sortWithinPartitions("bucket", "term", "shard").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    posts = posts.select(bucket("term", n_buckets).alias("bucket"), "term", "shard", "cell", "_id", F.col("tf").cast("int").alias("tf"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(n_buckets * groups, 10_000))
+    dealt = posts.repartition(n, "bucket", F.pmod("shard", F.lit(groups))).sortWithinPartitions("bucket", "term", "shard", "cell", "_id")
+    kind = posts.schema["_id"].dataType.simpleString()
+    done = dealt.mapInArrow(_rows, f"bucket int, term string, shard int, n int, blocks array<struct<cell:int,most:int,ids:array<{kind}>,tfs:array<int>>>")
+    done.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
     facts = [(totals["total_docs"], float(totals["avg_doc_length"]), n_shards, n_cells, n_buckets)]
     spark.createDataFrame(facts, "total_docs long, avg_doc_length double, n_shards int, n_cells int, n_buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
-    old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_parts")
-    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted postings (bucket, term, shard, cell, id, tf) -> a row a term and shard. What a batch ends in the middle of is held until its end comes."""
+    held: list[pa.RecordBatch] = []
+    for b in itertools.chain(batches, [None]):
+        if b is not None and not b.num_rows:
+            continue
+        held += [b] if b is not None else []
+        if not held:
+            return
+        t = pa.Table.from_batches(held).combine_chunks()
+        term, shard, cell = (t.column(c).combine_chunks() for c in ("term", "shard", "cell"))
+        changed = lambda a: pc.not_equal(a.slice(1), a.slice(0, len(a) - 1)).to_numpy(zero_copy_only=False)
+        new_row = np.concatenate(([True], changed(term) | changed(shard)))
+        rows = np.flatnonzero(new_row)
+        end = t.num_rows if b is None else int(rows[-1])
+        held = [] if b is None else t.slice(end).to_batches()
+        if not end:
+            continue
+        rows = rows[rows < end]
+        blocks = np.flatnonzero((new_row | np.concatenate(([True], changed(cell))))[:end])
+        tf = t.column("tf").to_numpy()[:end]
+        cuts = pa.array(np.concatenate((blocks, [end])), pa.int32())
+        ids = t.column("_id").combine_chunks().slice(0, end)
+        parts = [cell.take(pa.array(blocks)), pa.array(np.maximum.reduceat(tf, blocks)), pa.ListArray.from_arrays(cuts, ids), pa.ListArray.from_arrays(cuts, pa.array(tf))]
+        lists = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(blocks, rows), len(blocks)), pa.int32()), pa.StructArray.from_arrays(parts, ["cell", "most", "ids", "tfs"]))
+        at = pa.array(rows)
+        n = pa.array(np.diff(np.append(rows, end)).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([t.column("bucket").combine_chunks().take(at), term.take(at), shard.take(at), n, lists], names=["bucket", "term", "shard", "n", "blocks"])
 
 
 def build_next(docs: DataFrame, root: str, **how) -> str:
@@ -138,9 +168,12 @@ class Inverted:
         queries = [Counter(r["_t"]) for r in asked]
         id_type = self.rows.schema["blocks"].dataType.elementType["ids"].dataType.elementType
         schema = StructType([StructField("_q", IntegerType()), StructField(id_col, id_type), StructField("score", DoubleType())])
-        score = _scorer(queries, self.totals["total_docs"], self.totals["n_cells"], k, id_col)
-        rows = self.of({t for q in queries for t in q}).select("shard", "term", "df", "blocks")
-        return search._ranked(rows.groupBy("shard").applyInArrow(score, schema), [r["query_id"] for r in asked], kind, k, id_col)
+        rows = self.of({t for q in queries for t in q})
+        # How many documents have each of the queries' terms, from one short column; a lone shard knows it itself.
+        df = None if self.totals["n_shards"] == 1 else {r["term"]: r["df"] for r in rows.groupBy("term").agg(F.sum("n").alias("df")).collect()}
+        score = _scorer(queries, df, self.totals["total_docs"], self.totals["n_cells"], k, id_col)
+        found = rows.select("shard", "term", "n", "blocks").groupBy("shard").applyInArrow(score, schema)
+        return search._ranked(found, [r["query_id"] for r in asked], kind, k, id_col)
 
 
 def _constant(spark: SparkSession, column):
@@ -151,13 +184,13 @@ def _constant(spark: SparkSession, column):
 class Shard:
     """The postings of some terms in one shard, as arrays."""
 
-    def __init__(self, table: pa.Table, total: int, n_cells: int):
+    def __init__(self, table: pa.Table, df: dict[str, int], total: int, n_cells: int):
         self.n_cells, self.terms, self.scored = n_cells, {}, 0
         k1 = index.K1
-        for term, df, blocks in zip(table.column("term").to_pylist(), table.column("df").to_pylist(), _lists(table.column("blocks")), strict=True):
+        for term, blocks in zip(table.column("term").to_pylist(), _lists(table.column("blocks")), strict=True):
             cells, most, ids, tfs = (blocks.field(c) for c in ("cell", "most", "ids", "tfs"))
             starts = np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))))
-            idf = np.log((total - df + 0.5) / (df + 0.5) + 1.0)
+            idf = np.log((total - df[term] + 0.5) / (df[term] + 0.5) + 1.0)
             weigh = lambda tf, idf=idf: idf * tf * (k1 + 1) / (tf + k1)
             own = weigh(tfs.flatten().to_numpy(zero_copy_only=False).astype(float))
             self.terms[term] = weigh, cells.to_numpy(), weigh(most.to_numpy().astype(float)), starts, ids.flatten().to_numpy(zero_copy_only=False), own
@@ -207,9 +240,10 @@ def _lists(column: pa.ChunkedArray):
             yield chunk[i].values
 
 
-def _scorer(queries: list[Counter], total: int, n_cells: int, k: int, id_col: str):
+def _scorer(queries: list[Counter], df: dict[str, int] | None, total: int, n_cells: int, k: int, id_col: str):
     def score(rows: pa.Table) -> pa.Table:
-        shard = Shard(rows, total, n_cells)
+        own = df if df is not None else dict(zip(rows.column("term").to_pylist(), rows.column("n").to_pylist(), strict=True))
+        shard = Shard(rows, own, total, n_cells)
         found = [(j, *shard.best(q, k)) for j, q in enumerate(queries)]
         q = np.concatenate([np.full(len(ids), j, np.int32) for j, ids, _ in found])
         some = [ids for _, ids, _ in found if len(ids)]

@@ -64,7 +64,7 @@ def test_only_the_terms_folders_are_read_and_few_cells_are_scored(spark, corpus,
     n, rows = 400, {"a": [(c, [(c * 1000 + i, 50 if c == 7 else 1) for i in range(20)]) for c in range(400)]}
     blocks = [[{"cell": c, "most": max(tf for _, tf in p), "ids": [i for i, _ in p], "tfs": [tf for _, tf in p]} for c, p in rows["a"]]]
     kind = pa.list_(pa.struct([("cell", pa.int32()), ("most", pa.int32()), ("ids", pa.list_(pa.int64())), ("tfs", pa.list_(pa.int32()))]))
-    shard = inverted.Shard(pa.table({"term": ["a"], "df": [8000], "blocks": pa.array(blocks, kind)}), 100_000, n)
+    shard = inverted.Shard(pa.table({"term": ["a"], "blocks": pa.array(blocks, kind)}), {"a": 8000}, 100_000, n)
     assert sorted(shard.best(Counter("a"), 10)[0]) == list(range(7000, 7010)) and shard.scored <= inverted.CELLS_A_STEP
 
 
