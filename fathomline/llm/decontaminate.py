@@ -178,8 +178,10 @@ def near(docs: DataFrame, items: DataFrame, window: int = 10, share: float = 0.8
     An item is near if some window of its words becomes a stretch of the document by at most window - share * window changes: words
     replaced, put in or left out. Exact phrases are near, too. No count of a word decides: a window of e changes at most, parted in e + 1,
     has a part without one, so all parts' words in a row are looked up, and the words either side of each found one are compared.
-    Nulls, empty texts, repeated ids and rows are as in contamination(). Windows may have up to 200 words.
+    Nulls, empty texts, repeated ids and rows are as in contamination(). Windows have up to 200 words; others are refused, as a word is one letter.
     """
+    if not 1 <= window <= 200:
+        raise ValueError("a window has 1 to 200 words")
     own = C.stored(_items(items, window).withColumn("e", F.expr(f"cast(floor((1 - {share}D) * w + 1e-9D) AS int)")).withColumn("g", F.expr("w div (e + 1)").cast("int")), "near-items")
     texts = docs.select("doc_id", C.row_key("doc_id", "text").alias("doc"), words("text").alias("_words"))
     parts = []

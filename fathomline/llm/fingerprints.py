@@ -91,7 +91,10 @@ def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint", ha
 
     Null counts as the empty text. Rows, repeated ones too, and other columns stay (one named `out` is replaced).
     """
-    return with_fingerprint(with_digest(df, "_digest", text, hashed), out, text, "_digest", collided([(df, text)], hashed=hashed)).drop("_digest")
+    rest = df.select(*[F.col(C.quoted_name(c)) for c in df.columns if c != out])
+    own = df.select(C.packed(rest), F.col(C.quoted_name(text)).alias("text"))
+    d = with_fingerprint(with_digest(own, "_digest", "text", hashed), "_print", "text", "_digest", collided([(df, text)], hashed=hashed))
+    return d.select(*C.unpacked(rest), F.col("_print").alias(out))
 
 
 def _block(bounds: list[float], sid: str) -> Column:

@@ -34,32 +34,32 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out)
 
 
-def _pieces(texts: list[str]) -> Iterator[list[tuple[int, str, int]]]:
-    """Lists of (document, piece with the code points that n-grams look ahead, own code points), of about PIECE in all.
-
-    A longer text is cut behind white space where its last thousand code points have some; every n-gram and word is in one piece.
-    """
-    look, batch, held = max(NGRAMS) - 1, [], 0
+def _pieces(texts: list[str], size: int) -> Iterator[tuple[list[tuple[int, str, int]], bool, bool]]:
+    """Lists of (document, piece with the code points that n-grams look ahead, own code points), of about `size` in all; whether the first piece goes on
+    with a text that the list before ended in, and whether the last one's text goes on in the next. Every n-gram begins in one piece."""
+    look, batch, held, goes_on = max(NGRAMS) - 1, [], 0, False
     for i, t in enumerate(texts):
-        a = 0
-        while a < len(t):
-            b = min(len(t), a + PIECE)
-            if b < len(t):
-                b = max(t.rfind(" ", b - 1000, b) + 1, t.rfind("\n", b - 1000, b) + 1) or b
+        for a in range(0, len(t), size):
+            b = min(len(t), a + size)
             batch.append((i, t[a : b + look], b - a))
             held += b - a
-            a = b
-            if held >= PIECE:
-                yield batch
-                batch, held = [], 0
+            if held >= size:
+                yield batch, goes_on, b < len(t)
+                batch, held, goes_on = [], 0, b < len(t)
     if batch:
-        yield batch
+        yield batch, goes_on, False
 
 
-def features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(documents, buckets): a pair of arrays for each list of pieces, one entry a feature, documents in order within an order of n."""
+def features(texts: list[str], size: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(documents, buckets): a pair of arrays for each list of pieces, one entry a feature, documents in order within an order of n.
+
+    A text of any length has the features that it would have in one piece: the word that a cut goes through and the two words before it are carried on.
+    """
     shift = np.uint32(32 - BITS)
-    for batch in _pieces(texts):
+    open_sum, open_len, last = np.uint64(0), 0, np.zeros(0, np.uint64)  # of a word that a cut went through, and the hashes of the words before it
+    for batch, goes_on, more in _pieces(texts, size or PIECE):
+        if not goes_on:
+            open_sum, open_len, last = np.uint64(0), 0, np.zeros(0, np.uint64)
         lens = np.array([len(p) for _, p, _ in batch])
         own = np.array([n for _, _, n in batch])
         ends = np.cumsum(lens)
@@ -86,15 +86,29 @@ def features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         joint = np.flatnonzero(new[1:] & word[1:] & word[:-1]) + 1
         a, b = np.sort(np.concatenate((a, joint))), np.sort(np.concatenate((b, joint)))
-        if len(a):
-            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(cp.astype(np.uint64) * _powers(_P, len(cp)))))
-            h = (sums[b] - sums[a]) * _powers(_PINV, len(cp) + 1)[a]
-            h ^= h >> np.uint64(29)
-            yield docs[piece[a]], ((h * _P) >> np.uint64(64 - BITS)).astype(np.uint32)
-            # A word that repeats the one, or the second, before it: a feature of its own for either, whatever the word.
-            for back in (1, 2):
-                same = (h[back:] == h[:-back]) & (piece[a[back:]] == piece[a[:-back]])
-                yield docs[piece[a[back:]][same]], np.full(int(same.sum()), back, np.uint32)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(cp.astype(np.uint64) * _powers(_P, len(cp)))))
+        h = (sums[b] - sums[a]) * _powers(_PINV, len(cp) + 1)[a]
+        of, size_of = piece[a], b - a
+        if open_len:
+            # The word that was cut: it goes on at the first code point, or ended at the cut.
+            if len(a) and a[0] == 0:
+                h[:1] = open_sum + h[:1] * _powers(_P, open_len + 1)[open_len]
+                size_of[0] += open_len
+            else:
+                h, of, a, b, size_of = np.append(open_sum, h), np.append(0, of), np.append(-1, a), np.append(0, b), np.append(open_len, size_of)
+        open_sum, open_len = np.uint64(0), 0
+        if more and len(b) and b[-1] == starts[-1] + own[-1] and of[-1] == len(batch) - 1:
+            open_sum, open_len = h[-1], int(size_of[-1])
+            h, of = h[:-1], of[:-1]
+        h = h ^ (h >> np.uint64(29))
+        yield docs[of], ((h * _P) >> np.uint64(64 - BITS)).astype(np.uint32)
+        # A word that repeats the one, or the second, before it: a feature of its own for either, whatever the word.
+        seen, at = np.concatenate((last, h)), np.concatenate((np.zeros(len(last), of.dtype), of))
+        for back in (1, 2):
+            same = (seen[back:] == seen[:-back]) & (at[back:] == at[:-back])
+            same[: max(0, len(last) - back)] = False  # found in the piece before
+            yield docs[at[back:][same]], np.full(int(same.sum()), back, np.uint32)
+        last = seen[at == len(batch) - 1][-2:] if more else last[:0]
 
 
 @dataclass(frozen=True)

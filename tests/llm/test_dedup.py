@@ -204,3 +204,18 @@ def test_odd_rows(spark):
     assert {(r._sid, r.words) for r in line_dedup.deduped(odd(spark)).collect()} == {(3, "w")}
     one = jaccard_join.one_of_each(odd(spark))
     assert one.columns == odd(spark).columns and one.count() == 2
+
+
+def test_fingerprints_keep_columns_of_any_name(spark):
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    texts = ["Ａ  b", "a B", "ß", "ss", "é", "é", "", None, "a\tb\n", "A b"]
+    d = spark.createDataFrame([(i, t, "mine") for i, t in enumerate(texts)], "doc_id long, text string, _digest string").withColumn("_canon", F.lit("own")).withColumn("_row", F.lit(1))
+    got = fingerprints.fingerprints(d).orderBy("doc_id").collect()
+    assert [tuple(r)[:5] for r in got] == [(i, t, "mine", "own", 1) for i, t in enumerate(texts)]
+    # The canonical form against Python's own tables.
+    canon = [" ".join(unicodedata.normalize("NFC", unicodedata.normalize("NFD", t or "").casefold()).split()) for t in texts]
+    same = lambda xs: [[x == y for y in xs] for x in xs]
+    assert same([r["fingerprint"] for r in got]) == same(canon)

@@ -54,3 +54,12 @@ def test_near_of_odd_rows(spark):
     items = spark.createDataFrame([(None, "one two three"), (1, None)], "item_id long, text string")
     assert decontaminate.near(odd(spark), items).filter("near").count() == 1 and decontaminate.near(odd(spark), items).count() == 4
     assert decontaminate.near(none(spark), items).count() == 0 and decontaminate.near(odd(spark), items.limit(0)).filter("near").count() == 0
+
+
+def test_windows_that_are_too_wide_are_refused(spark):
+    import pytest
+
+    d = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    for window in (0, 201):
+        with pytest.raises(ValueError, match="1 to 200"):
+            decontaminate.near(d, d.withColumnRenamed("doc_id", "item_id"), window)

@@ -6,6 +6,8 @@ import hashlib
 import html
 import math
 import random
+
+import numpy as np
 import re
 import zlib
 
@@ -47,6 +49,55 @@ def test_features_do_not_depend_on_pieces(monkeypatch):
     assert bags() == whole
 
 
+def test_words_and_repeats_go_over_the_edges_of_pieces():
+    rnd = random.Random(5)
+    texts = ["ab ab cd ab " * 30, "x" * 300 + " " + "x" * 300, "", "  ", "the the", "a", *(" ".join(rnd.choices(["a", "bb", "ccc", "a\n"], k=80)) for _ in range(20)), "y" * 150]
+
+    def bags(size):
+        out = [collections.Counter() for _ in texts]
+        for docs, buckets in quality.features(texts, size):
+            for d, b in zip(docs.tolist(), buckets.tolist(), strict=True):
+                out[d][b] += 1
+        return out
+
+    whole = bags(1 << 20)
+    assert sum(w[1] + w[2] for w in whole) > 500  # there are repeats
+    for size in (1, 2, 3, 5, 7, 64, 299, 300, 301):
+        assert bags(size) == whole, size
+
+
+def test_scores_equal_a_plain_computation(spark):
+    """Hashes, means and the logistic of a few texts, feature by feature in plain Python."""
+    m32, m64 = (1 << 32) - 1, (1 << 64) - 1
+
+    def plain(text):
+        cps, out = [ord(c) for c in text], []
+        for n in quality.NGRAMS:
+            for i in range(len(cps) - n + 1):
+                h = cps[i] * int(quality._ODD[0]) & m32
+                for k in range(1, n):
+                    h ^= (h >> 15) + cps[i + k] * int(quality._ODD[k]) & m32
+                    h = h * 0x2C1B3C6D & m32
+                out.append(((h ^ n) * 0x9E3779B1 & m32) >> (32 - quality.BITS))
+        words = []
+        for w in "".join(c if ord(c) > 32 else " " for c in text).split(" "):
+            if w:
+                h = sum(ord(c) * pow(int(quality._P), i, 1 << 64) for i, c in enumerate(w)) & m64
+                h ^= h >> 29
+                words.append(h)
+        out += [(h * int(quality._P) & m64) >> (64 - quality.BITS) for h in words]
+        return out + [back for back in (1, 2) for i in range(back, len(words)) if words[i] == words[i - back]]
+
+    rng = np.random.default_rng(1)
+    model = quality.Model(rng.normal(size=1 << quality.BITS), 0.25)
+    texts = ["", "ab", "The fox the fox", "é\u20ac😀 x x x", "one two\none two", "tab\tbed  and  more"]
+    want = []
+    for t in texts:
+        f = plain(t)
+        want.append(1 / (1 + np.exp(-(sum(model.weights[b] for b in f) / max(len(f), 1) + 0.25))))
+    assert np.allclose(model.scores(texts), want, rtol=1e-12)
+
+
 def test_quality_learns_nothing_from_held_out_or_odd_rows(spark):
     docs = plain(spark, ["a", "b", None, ""])
     labels = spark.createDataFrame([(0, 1, 0), (None, 0, 0), (2, 0, 0), (3, None, 0), (0, 1, 0)], "doc_id long, quality int, toxic int")
