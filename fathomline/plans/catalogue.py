@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from fathomline.functions import ids, vectors, versions
 from fathomline.functions.text import EXCLUDED_CONTENT, EXCLUDED_NAMES, PAGE_CONTENT, PAGE_PATHS, is_page_content, is_page_name, not_blank, stripped, tokens
-from fathomline.operators import catalog, cells, elements, extract, hygiene, index, inverted, progress, records, render, search, temporal
+from fathomline.operators import catalog, cells, elements, extract, hygiene, index, inverted, progress, records, render, search, temporal, tree
 from fathomline.sources import datasource
 from fathomline.sources.shared import shared_path
 from fathomline.streaming import maintain
@@ -921,3 +921,15 @@ def interval_clicks_sales(spark, sf_dir):
     sales = sales.withColumn("since", F.expr("sold_at - INTERVAL 5 MINUTE"))
     d = temporal.in_intervals(clicks, sales, {"client_id": "client_id"}, "ts", "since", "sold_at", 1_000_000)
     return d.groupBy("interval.sale_id").agg(F.count("*").alias("n_clicks"), F.sum("point.click_id").alias("click_sum"))
+
+
+# Trees: parts as a heap, each below that of half its key.
+
+
+@query(
+    """WITH RECURSIVE a AS (SELECT p_partkey AS id, p_partkey AS above, p_size FROM part UNION ALL SELECT id, above // 2, p_size FROM a WHERE above // 2 > 0)
+    SELECT above AS id, above // 2 AS parent_id, length(bin(above)) - 1 AS level, count(*) - 1 AS n_below, CAST(sum(p_size) AS BIGINT) AS total FROM a GROUP BY above"""
+)
+def tree_totals(spark, sf_dir):
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.expr("p_partkey div 2").alias("parent_id"), "p_size")
+    return tree.totals(p, 0, "p_size")

@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 
 from fathomline.functions.text import EXCLUDED_CONTENT, EXCLUDED_NAMES, PAGE_CONTENT, PAGE_PATHS
 
-from .shared import shared_path
-
 LAST = 0x7FFFFFFF
 NAME_GAP, BODY_GAP = 40, 20
 PAGES = "archive string, path string, html string, size long"
@@ -176,17 +174,8 @@ def read_toc(spark: SparkSession, path: str, glob: str = "*_ru.{hbk,res}", order
 def toc_paths(rows: DataFrame, root: int = 0) -> DataFrame:
     """(id, parent_id, level, path): the tree of contents from its roots down, however deep; rows that no root leads to are left out.
 
-    An id that is its own ancestor (where ids repeat) is an error. Levels are stored one by one, as a plan of many joins isn't.
+    An id that is its own ancestor (where ids repeat) is an error. Rounds grow with the logarithm of the depth.
     """
-    spark = rows.sparkSession
-    at, n = shared_path(spark, "contents"), 0
-    level = rows.filter(F.col("parent_id") == root).select("id", "parent_id", F.lit(0).alias("level"), F.col("id").cast("string").alias("path"))
-    while True:
-        level.write.mode("append").parquet(at)
-        level = spark.read.schema(level.schema).parquet(at).filter(F.col("level") == n)
-        if level.isEmpty():
-            return spark.read.schema(level.schema).parquet(at)
-        if not level.filter(F.expr("exists(slice(split(path, '/'), 1, level), x -> x = string(id))")).isEmpty():
-            raise ValueError(f"contents go round in a circle at level {n}")
-        above, n = level.select(F.col("id").alias("parent_id"), F.col("path").alias("_above")), n + 1
-        level = rows.select("id", "parent_id").join(above, "parent_id").select("id", "parent_id", F.lit(n).alias("level"), F.concat_ws("/", "_above", F.col("id").cast("string")).alias("path"))
+    from fathomline.operators import tree
+
+    return tree.paths(rows, root)
