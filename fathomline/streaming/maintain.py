@@ -1,12 +1,16 @@
 """Term statistics kept up to date from a stream of changes, with what a change takes away.
 
-Each id's last terms are state (transformWithState): a new text takes the old one's counts away, a deletion takes all of them. Only differences leave the
-operator, one row a term that came or went, and each micro-batch's sums are a folder of their own, written anew if the batch is run again, so a
-restart neither loses nor doubles any. Statistics are the sum of the folders; `compact` puts those so far into one.
+Each id's last terms are state (transformWithState): a new text takes the old one's counts away, a deletion takes all of them. The state of some dozens
+of ids, a bucket, is one value, so it is read and written once a batch. Only differences leave the operator, a row a bucket and term that came or
+went, and each micro-batch's sums are a folder of their own, written anew if the batch is run again, so a restart neither loses nor doubles any.
+Statistics are the sum of the folders; `compact` puts those so far into one.
 """
 
 from __future__ import annotations
 
+import json
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,62 +25,88 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 DELTA = "term string, df long, docs long, length long"
 #: How long a deleted id is remembered where times are given, so that changes of it from before the deletion, arriving behind it, are known to be old.
 REMEMBERED_MS = 24 * 3600 * 1000
+BUCKETS = 4096
 
 
 class Last(StatefulProcessor):
-    """Per id: the greatest seq seen, whether it is deleted, its distinct terms and its length. Gives the differences to the state before."""
+    """Per id of a bucket: the greatest seq seen, whether it is deleted, its length and its distinct terms. Gives the differences to the state before."""
 
     def __init__(self, remembered_ms: int | None = None):
         self.remembered_ms = remembered_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("last", "seq long, gone boolean, length long, terms array<string>")
+        self.state = handle.getValueState("last", "held binary")
+
+    def _held(self) -> dict[str, list]:
+        """id -> [seq, when a deleted one is forgotten or null, length or null if deleted, terms]."""
+        return json.loads(zlib.decompress(self.state.get()[0])) if self.state.exists() else {}
+
+    def _hold(self, held: dict[str, list]) -> None:
+        if held:
+            self.state.update((zlib.compress(json.dumps(held).encode(), 1),))
+        elif self.state.exists():
+            self.state.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = None
+        last: dict[str, tuple] = {}
         for chunk in rows:  # of any number of changes of one id only the last is held
-            at = chunk.loc[chunk["seq"].idxmax()] if len(chunk) else None
-            if at is not None and (last is None or at["seq"] >= last["seq"]):
-                last = at
-        before = self.state.get() if self.state.exists() else None
-        if last is None or (before is not None and int(last["seq"]) <= before[0]):
-            return
-        gone = last["op"] == "delete"
-        new = set() if gone else set(last["terms"] if last["terms"] is not None else ())
-        old, was = (set(before[3] or ()), not before[1]) if before is not None else (set(), False)
-        length, had = (0 if gone else int(last["length"])), (before[2] if before is not None else 0)
-        self.state.update((int(last["seq"]), gone, length, sorted(new)))
-        if gone and self.remembered_ms is not None:
-            self.handle.registerTimer(timerValues.getCurrentWatermarkInMs() + self.remembered_ms)
-        changed = [(t, 1, 0, 0) for t in sorted(new - old)] + [(t, -1, 0, 0) for t in sorted(old - new)]
-        changed.append((None, 0, int(not gone) - int(was), length - had))
-        yield pd.DataFrame(changed, columns=["term", "df", "docs", "length"])
+            for r in chunk.sort_values("seq", kind="stable").drop_duplicates("id", keep="last").itertuples(index=False):
+                if str(r.id) not in last or r.seq > last[str(r.id)].seq:
+                    last[str(r.id)] = r
+        held, df, docs, length = self._held(), Counter(), 0, 0
+        new_timer = False
+        for i, r in last.items():
+            seq, _, had, old = held.get(i, (None, None, None, ()))
+            if seq is not None and int(r.seq) <= seq:
+                continue
+            gone = r.op == "delete"
+            new = [] if gone or r.terms is None else [str(t) for t in r.terms]
+            df.update(new)
+            df.subtract(old)
+            docs += int(not gone) - int(had is not None)
+            length += (0 if gone else int(r.length)) - (had or 0)
+            ends = timerValues.getCurrentWatermarkInMs() + self.remembered_ms if gone and self.remembered_ms is not None else None
+            new_timer |= ends is not None
+            held[i] = [int(r.seq), ends, None if gone else int(r.length), new]
+        if last:
+            self._hold(held)
+            self._wake(held, new_timer)
+            changed = [(t, n, 0, 0) for t, n in sorted(df.items()) if n] + [(None, 0, docs, length)]
+            yield pd.DataFrame(changed, columns=["term", "df", "docs", "length"])
+
+    def _wake(self, held: dict[str, list], needed: bool) -> None:
+        ends = [x[1] for x in held.values() if x[1] is not None]
+        if needed and ends:
+            self.handle.registerTimer(min(ends))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """A deleted id is forgotten; one that has come back since stays."""
-        if self.state.exists() and self.state.get()[1]:
-            self.state.clear()
+        """Deleted ids whose time is over are forgotten; ones that have come back since stay."""
+        now, held = timerValues.getCurrentWatermarkInMs(), self._held()
+        held = {i: x for i, x in held.items() if x[1] is None or x[1] > now}
+        self._hold(held)
+        self._wake(held, True)
         return iter(())
 
     def close(self) -> None:
         pass
 
 
-def differences(changes: DataFrame, stops: list[str] | None = None, time: str | None = None, late: str = "1 hour", remembered_ms: int = REMEMBERED_MS) -> DataFrame:
+def differences(changes: DataFrame, stops: list[str] | None = None, time: str | None = None, late: str = "1 hour", remembered_ms: int = REMEMBERED_MS, buckets: int = BUCKETS) -> DataFrame:
     """changes, a stream of (id, op, seq, text), op upsert or delete -> (term, df, docs, length): what each adds to or takes from the statistics.
 
     Of one id the change of the greatest seq counts, in whatever order they arrive; equal seqs are one change, repeated. An upsert with a null or
     empty text is a document without terms. Rows without id or seq are left out. The row of a null term has documents and lengths. Deleted ids
-    are remembered; where `time` names a column of event times, which arrive at most `late`, until the watermark is remembered_ms past the deletion.
+    are remembered; ids are told apart by their texts; where `time` names a column of event times, which arrive at most `late`, until the watermark is remembered_ms past the deletion.
+    buckets: of ids, for good (a checkpoint keeps them); some dozens of documents in each are a fair number.
     """
     own = tokens("text", stops)
     changes = changes if time is None else changes.withWatermark(time, late)
     d = changes.filter("id IS NOT NULL AND seq IS NOT NULL").select(
-        "id", "op", F.col("seq").cast("long").alias("seq"), F.array_distinct(own).alias("terms"), F.size(own).cast("long").alias("length"), *([time] if time else [])
+        F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket"), F.col("id").cast("string").alias("id"), "op", F.col("seq").cast("long").alias("seq"), F.array_distinct(own).alias("terms"), F.size(own).cast("long").alias("length"), *([time] if time else [])
     )
     # Timers in event time: those in processing time would keep a run that ends with its input going for ever.
-    return d.groupBy("id").transformWithStateInPandas(Last(remembered_ms if time else None), DELTA, "Update", "EventTime" if time else "None")
+    return d.groupBy("bucket").transformWithStateInPandas(Last(remembered_ms if time else None), DELTA, "Update", "EventTime" if time else "None")
 
 
 def maintain(changes: DataFrame, path: str, checkpoint: str, stops: list[str] | None = None, trigger: dict | None = None, **times) -> StreamingQuery:

@@ -27,7 +27,7 @@ def same(spark, path, rows):
 
 
 def run(spark, at, **kw):
-    q = M.maintain(spark.readStream.schema(COLS).option("maxFilesPerTrigger", 1).parquet(str(at / "in")), str(at / "stats"), str(at / "cp"), **kw)
+    q = M.maintain(spark.readStream.schema(COLS).option("maxFilesPerTrigger", 1).parquet(str(at / "in")), str(at / "stats"), str(at / "cp"), buckets=5, **kw)
     assert q.awaitTermination(120)
 
 
@@ -119,8 +119,10 @@ class Handle:
 
 
 class Times:
+    now = 1000
+
     def getCurrentWatermarkInMs(self):
-        return 1000
+        return self.now
 
 
 def test_deleted_ids_are_remembered_for_a_while(spark):
@@ -128,12 +130,18 @@ def test_deleted_ids_are_remembered_for_a_while(spark):
 
     h, p = Handle(), M.Last(500)
     p.init(h)
-    change = lambda op, seq, terms: [tuple(r) for d in p.handleInputRows((1,), iter([pd.DataFrame([(1, op, seq, terms, len(terms))], columns=["id", "op", "seq", "terms", "length"])]), Times()) for r in d.itertuples(index=False)]
-    assert change("upsert", 1, ["a", "b"]) == [("a", 1, 0, 0), ("b", 1, 0, 0), (None, 0, 1, 2)]
-    assert change("upsert", 2, ["b", "c", "d"]) == [("c", 1, 0, 0), ("d", 1, 0, 0), ("a", -1, 0, 0), (None, 0, 0, 1)]
-    assert change("delete", 4, []) == [("b", -1, 0, 0), ("c", -1, 0, 0), ("d", -1, 0, 0), (None, 0, -1, -3)]
-    assert h.timers == [1500] and change("upsert", 3, ["late"]) == []
-    assert list(p.handleExpiredTimer((1,), Times(), None)) == [] and h.value is None
-    assert change("upsert", 5, ["x"]) == [("x", 1, 0, 0), (None, 0, 1, 1)]
+
+    def change(*rows):
+        d = pd.DataFrame([(*r, len(r[3])) for r in rows], columns=["id", "op", "seq", "terms", "length"])
+        return [tuple(r) for d in p.handleInputRows((1,), iter([d]), Times()) for r in d.itertuples(index=False)]
+
+    assert change(("1", "upsert", 1, ["a", "b"])) == [("a", 1, 0, 0), ("b", 1, 0, 0), (None, 0, 1, 2)]
+    assert change(("1", "upsert", 2, ["b", "c", "d"])) == [("a", -1, 0, 0), ("c", 1, 0, 0), ("d", 1, 0, 0), (None, 0, 0, 1)]
+    # Within a bucket what one id gives and another takes is added up.
+    assert change(("2", "upsert", 9, ["b"]), ("1", "delete", 4, []), ("2", "upsert", 8, ["z"])) == [("c", -1, 0, 0), ("d", -1, 0, 0), (None, 0, 0, -2)]
+    assert h.timers == [1500] and change(("1", "upsert", 3, ["late"])) == [(None, 0, 0, 0)]
+    Times.now = 1500
+    assert list(p.handleExpiredTimer((1,), Times(), None)) == [] and set(p._held()) == {"2"}
+    assert change(("1", "upsert", 1, ["x"])) == [("x", 1, 0, 0), (None, 0, 1, 1)]
     list(p.handleExpiredTimer((1,), Times(), None))
-    assert h.value is not None
+    assert set(p._held()) == {"1", "2"}
