@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.functions.ids import present
+from fathomline.operators.extract import AVAILABLE
 
 #: What an availability note looks like; it isn't a type.
-AVAILABILITY = r"(?iu)клиент|сервер|соединение|мобильн|веб|толстый|тонкий|автономн|внешнее\s+соединение"
+AVAILABILITY = rf"(?iu){AVAILABLE}"
 
 
 def shortened(text: str | Column, n: int) -> Column:
