@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from fathomline.functions import ids, vectors, versions
 from fathomline.functions.text import EXCLUDED_CONTENT, EXCLUDED_NAMES, PAGE_CONTENT, PAGE_PATHS, is_page_content, is_page_name, not_blank, stripped, tokens
-from fathomline.operators import catalog, cells, elements, extract, hygiene, index, inverted, progress, records, render, search, temporal, tree
+from fathomline.operators import catalog, cells, elements, extract, hygiene, index, inverted, progress, records, render, search, sketches, temporal, tree
 from fathomline.sources import datasource
 from fathomline.sources.shared import shared_path
 from fathomline.streaming import maintain
@@ -122,6 +122,22 @@ def stats_round_trip(spark, sf_dir):
     return terms.crossJoin(F.broadcast(totals.select("total_docs")))
 
 
+@query(
+    f"""SELECT length(source) AS versions, count(*) AS n_docs, CAST(sum(len({TOK.format("text")})) AS BIGINT) AS n_tokens, true AS terms_close, true AS median_close
+    FROM documents GROUP BY length(source)"""
+)
+def sketch_stats(spark, sf_dir):
+    """Statistics of sets of versions from merged sketches of each, and whether distinct terms are within 4 % and the median's rank within 3 % of exact ones."""
+    d = read(spark, sf_dir, "documents").select("source", "text", F.length("source").alias("versions"))
+    own = sketches.build(d, "source").withColumn("versions", F.length("source"))
+    found = sketches.read(sketches.merged(own, ["versions"]))
+    n = d.select("versions", F.size(tokens("text")).alias("n")).join(F.broadcast(found.select("versions", "p50")), "versions")
+    ranks = n.groupBy("versions").agg(F.avg((F.col("n") <= F.col("p50")).cast("double")).alias("upto"), F.avg((F.col("n") < F.col("p50")).cast("double")).alias("below"))
+    terms = index.term_stats(index.postings(d, "source", by=["versions"]), ["versions"]).groupBy("versions").agg(F.count("*").alias("exact"))
+    near = (F.abs(F.col("distinct_terms") - F.col("exact")) <= 0.04 * F.col("exact")).alias("terms_close")
+    return found.join(ranks, "versions").join(terms, "versions").select("versions", "n_docs", "n_tokens", near, ((F.col("below") <= 0.53) & (F.col("upto") >= 0.47)).alias("median_close"))
+
+
 CHANGED_SQL = f"""SELECT unnest(list_distinct({TOK.format("CASE WHEN doc_id % 3 = 0 THEN text ELSE substr(text, 1, 200) END")})) AS term FROM documents WHERE doc_id % 5 != 1"""
 
 
