@@ -910,6 +910,18 @@ def stripped_text(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", (stripped("text") == F.col("text")).alias("clean"))
 
 
+@query(
+    f"""WITH h AS (SELECT query_id, vec_id AS seq, score, rank FROM ({dense_sql(BENCH_VECTORS)})),
+    e AS (SELECT query_id, score, rank, rank || '. element_id: ' || element_type || '_' || parent_type || '_' || element_name || ' | name: ' || full_name || ' | type: ' || element_type
+        || ' | score: ' || printf('%.3f', score) || chr(10) || '   Описание: ' || CASE WHEN length(path) > 150 THEN substr(path, 1, 150) || '...' ELSE path END || chr(10) || '   Родительский тип: ' || parent_type AS entry
+        FROM h JOIN ({ELEMENTS_SQL}) USING (seq))
+    SELECT query_id, string_agg(entry, chr(10) || chr(10) ORDER BY rank) || CASE WHEN max(score) < 0.999 THEN chr(10) || chr(10) || '{render.INEXACT}' ELSE '' END AS listing FROM e GROUP BY query_id"""
+)
+def hits_listing(spark, sf_dir):
+    hits = dense_topk_batch(spark, sf_dir).withColumnRenamed("vec_id", "seq").join(parts(spark, sf_dir).withColumn("description", F.col("path")), "seq")
+    return render.listing(hits)
+
+
 # Joins by time, over a shop's tables.
 
 SALES_SQL = "SELECT client_id, sold_at, max(sale_id) AS sale_id FROM sales WHERE client_id IS NOT NULL AND sold_at IS NOT NULL GROUP BY ALL"
