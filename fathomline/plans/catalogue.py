@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from fathomline.functions import ids, vectors, versions
 from fathomline.functions.text import EXCLUDED_CONTENT, EXCLUDED_NAMES, PAGE_CONTENT, PAGE_PATHS, is_page_content, is_page_name, not_blank, stripped, tokens
 from fathomline.operators import catalog, cells, elements, extract, hygiene, index, inverted, progress, records, render, search, sketches, temporal, tree
+from fathomline.plans import functions
 from fathomline.sources import datasource
 from fathomline.sources.shared import shared_path
 from fathomline.streaming import maintain
@@ -922,6 +923,28 @@ def hits_listing(spark, sf_dir):
     return render.listing(hits)
 
 
+# The same as table functions of SQL.
+
+
+@query(sparse_sql(BENCH))
+def sql_search(spark, sf_dir):
+    at = shared_path(spark, "postings")
+    inverted.build(read(spark, sf_dir, "documents"), at)
+    functions.register_search(spark, inverted.Inverted(spark, at))
+    read(spark, sf_dir, "benchmark").createOrReplaceTempView("_asked")
+    return spark.sql("SELECT q.item_id AS query_id, s.id AS doc_id, s.score, s.rank FROM _asked q, LATERAL help_search(q.text, 10) s")
+
+
+@query(
+    f"""SELECT t.p_type AS parent_type, seq, element_type, CASE element_type WHEN 'constructor' THEN 0 WHEN 'method' THEN 1 ELSE 2 END AS place
+    FROM (SELECT DISTINCT p_type FROM part) t JOIN ({ELEMENTS_SQL}) e ON e.parent_type = t.p_type WHERE element_type IN ('constructor', 'method', 'property')"""
+)
+def sql_members(spark, sf_dir):
+    functions.register_elements(spark, parts(spark, sf_dir), "seq")
+    read(spark, sf_dir, "part").select("p_type").distinct().createOrReplaceTempView("_types")
+    return spark.sql("SELECT t.p_type AS parent_type, m.id AS seq, m.element_type, m.place FROM _types t, LATERAL help_members(t.p_type) m")
+
+
 # Joins by time, over a shop's tables.
 
 SALES_SQL = "SELECT client_id, sold_at, max(sale_id) AS sale_id FROM sales WHERE client_id IS NOT NULL AND sold_at IS NOT NULL GROUP BY ALL"
