@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DoubleType, IntegerType, LongType, StructField, StructType
 
@@ -32,7 +32,7 @@ from . import index, search
 SHARD_DOCS, CELL_DOCS = 1 << 16, 128
 #: Terms up to this many are a list in the scan's filter; more are joined to it, with the same folders picked.
 TERMS_IN_FILTER = 2000
-POSTINGS_A_FILE, LEAST_BUCKETS, MOST_BUCKETS = 10_000_000, 8, 4096
+POSTINGS_A_FILE, CHARS_A_POSTING, LEAST_BUCKETS, MOST_BUCKETS = 10_000_000, 8, 8, 4096
 #: Cells that are scored before the bar is looked at again.
 CELLS_A_STEP = 16
 
@@ -51,24 +51,25 @@ def build(
     """
     spark = docs.sparkSession
     posts = index.postings(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")), "_id", "_text", stops=stops, stem=stem)
-    totals = index.corpus_stats(docs, text, stops=stops, stem=stem).first()
-    if not totals["total_docs"]:
+    total, chars = docs.agg(F.count("*"), F.sum(F.length(text))).first()
+    if not total:
         raise ValueError("a corpus without documents has no index")
-    n_shards = -(-totals["total_docs"] // shard_docs)
-    n_cells = -(-min(shard_docs, totals["total_docs"]) // cell_docs)
+    n_shards = -(-total // shard_docs)
+    n_cells = -(-min(shard_docs, total) // cell_docs)
     # Files of about POSTINGS_A_FILE: by folder first, then by group of shards.
-    files = int(totals["total_docs"] * (totals["avg_doc_length"] or 0)) // POSTINGS_A_FILE + 1
+    files = (chars or 0) // (POSTINGS_A_FILE * CHARS_A_POSTING) + 1
     n_buckets = buckets or max(LEAST_BUCKETS, min(MOST_BUCKETS, files))
     groups = min(n_shards, -(-files // n_buckets))
     h = F.xxhash64(F.lit(1), F.col("_id"))
     posts = posts.withColumn("shard", F.pmod(h, F.lit(n_shards)).cast("int")).withColumn("cell", F.pmod(F.shiftright(h, 32), F.lit(n_cells)).cast("int"))
-    posts = posts.select(bucket("term", n_buckets).alias("bucket"), "term", "shard", "cell", "_id", F.col("tf").cast("int").alias("tf"))
+    counted = Observation()
+    posts = posts.observe(counted, F.sum("tf").alias("tokens")).select(bucket("term", n_buckets).alias("bucket"), "term", "shard", "cell", "_id", F.col("tf").cast("int").alias("tf"))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(n_buckets * groups, 10_000))
     dealt = posts.repartition(n, "bucket", F.pmod("shard", F.lit(groups))).sortWithinPartitions("bucket", "term", "shard", "cell", "_id")
     kind = posts.schema["_id"].dataType.simpleString()
     done = dealt.mapInArrow(_rows, f"bucket int, term string, shard int, n int, blocks array<struct<cell:int,most:int,ids:array<{kind}>,tfs:array<int>>>")
     done.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
-    facts = [(totals["total_docs"], float(totals["avg_doc_length"]), n_shards, n_cells, n_buckets)]
+    facts = [(total, (counted.get["tokens"] or 0) / total, n_shards, n_cells, n_buckets)]
     spark.createDataFrame(facts, "total_docs long, avg_doc_length double, n_shards int, n_cells int, n_buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
 
 
@@ -173,7 +174,7 @@ class Inverted:
         df = None if self.totals["n_shards"] == 1 else {r["term"]: r["df"] for r in rows.groupBy("term").agg(F.sum("n").alias("df")).collect()}
         score = _scorer(queries, df, self.totals["total_docs"], self.totals["n_cells"], k, id_col)
         found = rows.select("shard", "term", "n", "blocks").groupBy("shard").applyInArrow(score, schema)
-        return search._ranked(found, [r["query_id"] for r in asked], kind, k, id_col)
+        return search._ranked(found, [r["query_id"] for r in asked], kind, k, id_col, lone=len(asked) == 1)
 
 
 def _constant(spark: SparkSession, column):

@@ -72,9 +72,9 @@ class Top:
         return pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(ids).cast(id_type), pa.array(scores, pa.float64())], names=names)
 
 
-def _ranked(found: DataFrame, names: list, kind: DataType, k: int, id_col: str) -> DataFrame:
-    """found (_q, id, score): the k best of each task -> of all, with the queries' own ids, of type kind."""
-    if len(names) == 1:
+def _ranked(found: DataFrame, names: list, kind: DataType, k: int, id_col: str, lone: bool = False) -> DataFrame:
+    """found (_q, id, score): the k best of each task -> of all, with the queries' own ids, of type kind. lone: all rows are of the one query."""
+    if lone:
         one = found.select(F.lit(names[0]).cast(kind).alias("query_id"), id_col, F.round("score", 6).alias("score"))
         return top(one, k, id_col=id_col)
     named = found.sparkSession.createDataFrame(list(enumerate(names)), StructType([StructField("_q", IntegerType()), StructField("query_id", kind)]))
