@@ -34,6 +34,11 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(value: Column, then) -> Column:
+    """then(value): the value is computed once a row, however often `then` names it."""
+    return F.get(F.transform(F.array(value), lambda v: then(v)), F.lit(0))
+
+
 def stop_words(spark: SparkSession, language: str = "russian") -> list[str]:
     """Spark ML's list of a language; needs no download."""
     from pyspark.ml.feature import StopWordsRemover
