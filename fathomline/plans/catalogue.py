@@ -44,6 +44,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table of short rows that each take long to work on: its few files are dealt out to all tasks, where reading them would make one."""
+    return read(spark, sf_dir, name).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def literal(spark: SparkSession, text: str) -> DataFrame:
     return spark.range(1).select(F.lit(0).cast("long").alias("query_id"), F.lit(text).alias("text"))
 
@@ -692,7 +697,7 @@ PART_SQL = """SELECT p_partkey AS k, p_name, p_brand, p_size, p_type, CAST(p_par
 
 def member_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(k, title, content): a page of documentation for each part, with labelled sections in both languages by turns."""
-    p, t = read(spark, sf_dir, "part"), lambda ru, en: F.when(F.col("p_partkey") % 2 == 0, ru).otherwise(en)
+    p, t = dealt(spark, sf_dir, "part", "p_partkey"), lambda ru, en: F.when(F.col("p_partkey") % 2 == 0, ru).otherwise(en)
     n, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
     say = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
     name, brand, kind = F.col("p_name"), F.col("p_brand"), F.col("p_type")
@@ -711,10 +716,11 @@ def member_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         'index of ' || p_type AS return_text, 'Метод' || n AS name, 'Method' || n AS name_en, 'Массив' AS parent, 'Method' || n || '(Value)' AS signature FROM ({PART_SQL})"""
 )
 def page_fields(spark, sf_dir):
-    v, r = extract.version_info("content"), extract.returned("content")
-    en = extract.english_name("title")
-    return member_pages(spark, sf_dir).select(
-        "k", extract.description("content").alias("description"), extract.notes("content").alias("notes"), extract.availability("content").alias("availability"), v["since"].alias("since"),
+    v, r, en = F.col("v"), F.col("r"), F.col("en")
+    d = member_pages(spark, sf_dir).withColumn("cut", extract.labelled("content"))
+    d = d.select("k", "title", "content", "cut", extract.version_info("content").alias("v"), extract.returned("content", "cut").alias("r"), extract.english_name("title").alias("en"))
+    return d.select(
+        "k", extract.description("content", "cut").alias("description"), extract.notes("content", "cut").alias("notes"), extract.availability("content", "cut").alias("availability"), v["since"].alias("since"),
         v["deprecated"].alias("deprecated"), v["deprecated_since"].alias("deprecated_since"), r["type"].alias("return_type"), r["description"].alias("return_text"),
         extract.function_name("title").alias("name"), en.alias("name_en"), extract.parent_name("title").alias("parent"), extract.signature("content", en).alias("signature"),
     )
@@ -745,7 +751,7 @@ def marked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         [f"{chapter}Синтаксис:</p>Новый Массив", n, "(&lt;Size&gt;)<hr>"],
         [f"{chapter}Тип:</p><a href='x'>", F.col("p_brand"), "</a>. ", F.when(F.col("p_size") % 2 == 0, "Только чтение.").otherwise("")],
     )
-    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq"), path.alias("path"), say("<html><body><h1>", title, "</h1>", body, "</body></html>").alias("html"))
+    return dealt(spark, sf_dir, "part", "p_partkey").select(F.col("p_partkey").alias("seq"), path.alias("path"), say("<html><body><h1>", title, "</h1>", body, "</body></html>").alias("html"))
 
 
 @query(
