@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.functions import ids
-from fathomline.functions.text import col, stripped
+from fathomline.functions.text import bound, col, stripped
 from fathomline.operators import elements as el
 from fathomline.operators import extract as ex
 
@@ -50,14 +50,13 @@ def one_line(text: str | Column) -> Column:
 
 def call(text: str | Column) -> Column:
     """A text on one line, to its first closing bracket if it has an opening one; null if nothing is left."""
-    line = one_line(text)
-    return F.nullif(F.when(line.contains("("), F.regexp_replace(line, r"(?s)\).*$", ")")).otherwise(line), F.lit(""))
+    return bound(one_line(text), lambda line: F.nullif(F.when(line.contains("("), F.regexp_replace(line, r"(?s)\).*$", ")")).otherwise(line), F.lit("")))
 
 
-def syntax(html: str | Column, content: str | Column) -> Column:
+def syntax(html: str | Column, content: str | Column, cut: str | Column | None = None) -> Column:
     """The call that a page's chapter of syntax, else its text's section, gives; null without both."""
     marked = call(ex.without_tags(F.regexp_replace(ex.chapter(html, SYNTAX), r"(?is)<hr\b.*$", ""), ""))
-    return F.coalesce(marked, F.get(F.filter(F.transform(ex.texts_of(content, "syntax"), call), lambda t: t.isNotNull()), F.lit(0)))
+    return F.coalesce(marked, F.get(F.filter(F.transform(ex.texts_of(content, "syntax", cut=cut), call), lambda t: t.isNotNull()), F.lit(0)))
 
 
 def method_signature(given: str | Column, content: str | Column, name: str | Column) -> Column:
@@ -133,19 +132,23 @@ def member_names(html: str | Column, content: str | Column, kind: str) -> Column
     linked = F.transform(F.filter(ex.links(html), lambda x: ex.any_of(x["href"], ex.MEMBER_LINKS[kind])), lambda x: x["text"])
     listed = F.transform(F.split(member_section(content, kind), r"[\n,;]"), stripped)
     every = F.filter(F.transform(F.concat(declared, linked, listed), both), lambda m: m["name"] != "")
-    first = lambda m, i: ~F.exists(F.slice(every, F.lit(1), i), lambda x: x["name"] == m["name"])
-    english = lambda m: F.array_max(F.transform(F.filter(every, lambda x: x["name"] == m["name"]), lambda x: x["name_en"]))
-    return F.coalesce(F.transform(F.filter(every, first), lambda m: F.struct(m["name"].alias("name"), english(m).alias("name_en"))), F.expr("cast(array() AS array<struct<name:string,name_en:string>>)"))
+
+    def once(every: Column) -> Column:
+        first = lambda m, i: ~F.exists(F.slice(every, F.lit(1), i), lambda x: x["name"] == m["name"])
+        english = lambda m: F.array_max(F.transform(F.filter(every, lambda x: x["name"] == m["name"]), lambda x: x["name_en"]))
+        return F.transform(F.filter(every, first), lambda m: F.struct(m["name"].alias("name"), english(m).alias("name_en")))
+
+    return F.coalesce(bound(every, once), F.expr("cast(array() AS array<struct<name:string,name_en:string>>)"))
 
 
 def members(html: str | Column, content: str | Column, kind: str, names: str | Column) -> Column:
     """array of members with what the type's page says of each: the text behind its name, the call, and of a property its type and flags."""
 
-    def one(m: Column) -> Column:
-        said = found(content, r"(?isu)(?<![\p{L}\p{N}_.])", quoted(m["name"]), r"\s*(?:\([^)]*\))?\s*[-–:]\s*(.+?)(?=\n|$)")
+    is_property = kind == "property"
+
+    def one(m: Column, said: Column) -> Column:
         # Behind a space the brackets hold the English name.
         called = one_line(found(content, r"(?u)(?<![\p{L}\p{N}_.])(", quoted(m["name"]), r"\([^)]*\))"))
-        is_property = kind == "property"
         return F.struct(
             F.lit(kind).alias("element_type"), m["name"].alias("name"), m["name_en"].alias("name_en"), F.coalesce(one_line(said), F.lit("")).alias("description"),
             (F.lit(None).cast("string") if is_property else F.coalesce(called, m["name"])).alias("signature"),
@@ -154,7 +157,8 @@ def members(html: str | Column, content: str | Column, kind: str, names: str | C
             (only(said, WRITE_ONLY) if is_property else F.lit(None).cast("boolean")).alias("write_only"),
         )
 
-    return F.transform(col(names), one).cast(f"array<{MEMBER}>")
+    said = lambda m: found(content, r"(?isu)(?<![\p{L}\p{N}_.])", quoted(m["name"]), r"\s*(?:\([^)]*\))?\s*[-–:]\s*(.+?)(?=\n|$)")
+    return F.transform(col(names), lambda m: bound(said(m), lambda x: one(m, x))).cast(f"array<{MEMBER}>")
 
 
 def records(pages: DataFrame) -> DataFrame:
@@ -174,9 +178,10 @@ def records(pages: DataFrame) -> DataFrame:
     name = name.when(kind == "constructor", "Новый").when(kind == "property", F.when(plain_title.contains("."), stripped(F.substring_index(plain_title, ".", -1))).otherwise(ex.function_name(plain_title)))
     called = kind.isin("method", "function", "constructor")
     named = kind.isNotNull()
+    d = d.withColumn("_cut", F.when(named, ex.labelled("content")))
     d = d.select(
-        "*", name.alias("element_name"), F.when(named, ex.english_name("title")).alias("element_name_en"), F.when(called, ex.marked_parameters("html", "content")).alias("parameters"),
-        F.when(called, syntax("html", "content")).alias("_syntax"), F.when(kind.isin("method", "function"), ex.returned("content")).alias("_returned"),
+        "*", name.alias("element_name"), F.when(named, ex.english_name("title")).alias("element_name_en"), F.when(called, ex.marked_parameters("html", "content", "_cut")).alias("parameters"),
+        F.when(called, syntax("html", "content", "_cut")).alias("_syntax"), F.when(kind.isin("method", "function"), ex.returned("content", "_cut")).alias("_returned"),
         F.when(named, ex.version_info("content")).alias("_version"),
     )
     d = d.withColumn("_given", F.when(kind == "constructor", given_constructor("_syntax", "content")))
@@ -191,16 +196,16 @@ def records(pages: DataFrame) -> DataFrame:
     out = {
         "return_type": F.when(kind == "property", property_type("html", "content")).otherwise(F.col("_returned.type")),
         "return_description": F.col("_returned.description"),
-        "description": F.when(named, ex.description("content")),
-        "notes": F.when(named, ex.notes("content")),
-        "availability": F.when(named, ex.availability("content")),
+        "description": F.when(named, ex.description("content", "_cut")),
+        "notes": F.when(named, ex.notes("content", "_cut")),
+        "availability": F.when(named, ex.availability("content", "_cut")),
         "since": F.col("_version.since"),
         "deprecated": F.col("_version.deprecated"),
         "deprecated_since": F.col("_version.deprecated_since"),
         "examples": F.when(called, ex.marked_examples("html", "content")),
         "related": F.when(kind.isin("method", "function"), ex.related("content", "element_name")),
         "base_types": F.when(kind == "type", ex.base_types("content")),
-        "enum_values": F.when(kind == "enum", ex.enum_values("content")),
+        "enum_values": F.when(kind == "enum", ex.enum_values("content", "_cut")),
         "read_only": F.when(kind == "property", only("content", READ_ONLY)),
         "write_only": F.when(kind == "property", only("content", WRITE_ONLY)),
         "members": F.when(kind == "type", F.concat(*[members("html", "content", k, n) for k, n in of_type.items()])),
