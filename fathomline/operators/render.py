@@ -17,6 +17,13 @@ def shortened(text: str | Column, n: int) -> Column:
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("..."))).otherwise(c)
 
 
+def three_places(number: str | Column) -> Column:
+    """A number with three decimals, rounded as printf does: by its exact binary value, ties to even. Java's %.3f rounds the shortest decimal half up."""
+    c = F.col(number) if isinstance(number, str) else number
+    # DecimalFormat takes 0.0005, which is a little more than half a thousandth, for a tie.
+    return F.when(F.abs(c) == 0.0005, F.when(c > 0, "0.001").otherwise("-0.001")).otherwise(F.call_function("format_number", c, F.lit("0.000")))
+
+
 def hits(ranked: DataFrame, title: str = "title", text: str = "text") -> DataFrame:
     """ranked with `line`: "rank. title (score) - the first 150 characters"."""
     return ranked.withColumn(
@@ -55,7 +62,7 @@ def entries(found: DataFrame) -> DataFrame:
     syntax = F.when(F.col("element_type").isin("function", "method"), F.nullif(F.regexp_extract(F.coalesce(_has(found, "content"), F.lit("")), SYNTAX_LINE, 1), F.lit("")))
     text = {"description": F.coalesce(_has(found, "description"), _has(found, "content"), _has(found, "text")), "signature": F.coalesce(_has(found, "signature"), syntax)}
     own = F.concat_ws("_", "element_type", _has(found, "parent_type"), "element_name")
-    head = F.concat(F.col("rank").cast("string"), F.lit(". element_id: "), own, F.lit(" | name: "), F.coalesce(_has(found, "full_name"), F.col("element_name")), F.lit(" | type: "), "element_type", F.lit(" | score: "), F.format_string("%.3f", "score"))
+    head = F.concat(F.col("rank").cast("string"), F.lit(". element_id: "), own, F.lit(" | name: "), F.coalesce(_has(found, "full_name"), F.col("element_name")), F.lit(" | type: "), "element_type", F.lit(" | score: "), three_places("score"))
     lines = []
     for label, c, most in LISTED:
         v = text.get(c, _has(found, c))

@@ -25,3 +25,9 @@ def test_cards(spark):
         "Возвращает: Тип: Число\n   Сколько стало\nОписание: " + "о" * 500 + "...\nПримеры: \n   a\n   b\n   c"
     )
     assert got[1] == "# Длина\nТип: function\nСм. также: \n   1\n   2\n   3\n   4\n   5" and got[2] == "# Т\nТип: type"
+
+
+def test_three_places_are_those_of_printf(spark):
+    numbers = [i * 0.0005 for i in range(-2100, 2100)] + [round(i * 0.0005, 6) for i in range(2100)] + [0.0625, 0.1235, 1234.5675, -0.0]
+    d = spark.createDataFrame([(x,) for x in numbers], "x double").select("x", render.three_places("x").alias("t"))
+    assert [(r.x, r.t) for r in d.collect() if r.t != "%.3f" % r.x] == []
