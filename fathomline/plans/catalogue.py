@@ -154,7 +154,7 @@ def stream_term_stats(spark, sf_dir):
     change = lambda rows, op, seq, text: rows.select(F.col("doc_id").alias("id"), F.lit(op).alias("op"), F.lit(seq).cast("long").alias("seq"), text.alias("text"))
     steps = [change(d, "upsert", 1, F.substring("text", 1, 200)), change(d.filter("doc_id % 3 = 0"), "upsert", 2, F.col("text")), change(d.filter("doc_id % 5 = 1"), "delete", 3, F.lit(None).cast("string"))]
     for i, rows in enumerate(steps):
-        rows.coalesce(1).write.mode("append").parquet(f"{at}/in")
+        rows.write.mode("append").parquet(f"{at}/in")
         maintain.maintain(spark.readStream.schema(rows.schema).parquet(f"{at}/in"), f"{at}/stats", f"{at}/checkpoint").awaitTermination()
         if i == 1:
             maintain.compact(spark, f"{at}/stats")

@@ -145,3 +145,14 @@ def test_deleted_ids_are_remembered_for_a_while(spark):
     assert change(("1", "upsert", 1, ["x"])) == [("x", 1, 0, 0), (None, 0, 1, 1)]
     list(p.handleExpiredTimer((1,), Times(), None))
     assert set(p._held()) == {"1", "2"}
+
+
+def test_changes_are_written_by_all_tasks(spark, tmp_path, monkeypatch):
+    from fathomline.plans import catalogue
+
+    docs = spark.createDataFrame([(i, f"word{i % 7} text", "s") for i in range(80)], "doc_id long, text string, source string")
+    docs.repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(catalogue, "shared_path", lambda spark, what: str(tmp_path / what))
+    assert catalogue.QUERIES["stream_term_stats"](spark, str(tmp_path)).count() > 0
+    # Three steps: one file each would mean that one task wrote, and so read, the whole table.
+    assert len(list((tmp_path / "changes" / "in").glob("*.parquet"))) > 3
