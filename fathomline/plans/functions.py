@@ -16,7 +16,10 @@ NAMES = ("help_search", "help_members", "help_element", "help_lookup")
 
 
 def register_search(spark: SparkSession, opened: Inverted, name: str = "help_search") -> None:
-    """help_search(query, k): (id, score, rank) of stored postings, as Inverted.topk gives them. An index with stems is refused: SQL has none."""
+    """help_search(query, k): (id, score, rank) of stored postings, as Inverted.topk gives them. An index with stems is refused: SQL has none.
+
+    A query's postings go out to their shards as lists, and are taken apart there, so each document's parts are summed before its score is sent on.
+    """
     if opened.stem is not None:
         raise ValueError("an index with stems can't be searched from SQL")
     view, totals, k1 = f"_{name}_postings", opened.totals, index.K1
@@ -29,10 +32,12 @@ def register_search(spark: SparkSession, opened: Inverted, name: str = "help_sea
     spark.sql(f"""
         CREATE OR REPLACE TEMPORARY FUNCTION {name}(query STRING, k INT) RETURNS TABLE (id {kind}, score DOUBLE, rank INT) RETURN
         WITH asked AS (SELECT term, count(*) AS qtf FROM (SELECT explode(regexp_extract_all(lower(coalesce({name}.query, '')), r'{TOKEN}', 0)) AS term) {kept} GROUP BY term),
-        own AS (SELECT a.term, qtf, p.n, p.blocks FROM asked a JOIN {view} p ON p.term = a.term AND p.bucket = pmod(xxhash64(a.term), {totals['n_buckets']})),
-        df AS (SELECT term, sum(n) AS df FROM own GROUP BY term),
-        each AS (SELECT qtf, {idf} AS idf, explode(flatten(transform(blocks, b -> arrays_zip(b.ids, b.tfs)))) AS x FROM own JOIN df USING (term)),
-        scored AS (SELECT x.ids AS id, round(sum({weigh('qtf')} * {weigh('x.tfs')}), 6) AS score FROM each GROUP BY x.ids),
+        own AS (SELECT /*+ BROADCAST(a) */ a.term, qtf, p.shard, flatten(p.blocks.ids) AS ids, flatten(p.blocks.tfs) AS tfs FROM asked a JOIN {view} p ON p.term = a.term AND p.bucket = pmod(xxhash64(a.term), {totals['n_buckets']})),
+        df AS (SELECT term, sum(n) AS df FROM (SELECT /*+ BROADCAST(a) */ a.term, p.n FROM asked a JOIN {view} p ON p.term = a.term AND p.bucket = pmod(xxhash64(a.term), {totals['n_buckets']})) GROUP BY term),
+        met AS (SELECT /*+ BROADCAST(df) */ shard, collect_list(struct(qtf, {idf} AS idf, ids, tfs)) AS parts FROM own JOIN df USING (term) GROUP BY shard),
+        part AS (SELECT shard, inline(parts) FROM met),
+        each AS (SELECT shard, qtf, idf, explode(arrays_zip(ids, tfs)) AS x FROM part),
+        scored AS (SELECT shard, x.ids AS id, round(sum({weigh('qtf')} * {weigh('x.tfs')}), 6) AS score FROM each GROUP BY shard, x.ids),
         ranked AS (SELECT id, score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INT) AS rank FROM scored)
         SELECT id, score, rank FROM ranked WHERE rank <= {name}.k""")
 

@@ -31,3 +31,15 @@ def test_elements_as_table_functions(spark):
     got = spark.sql("SELECT q.n, e.id FROM VALUES ('Len'), ('Add'), ('none') q(n), LATERAL help_element(q.n) e").collect()
     assert sorted(map(tuple, got)) == [("Add", 1), ("Len", 2)]
     assert sorted(r["id"] for r in spark.sql("SELECT id FROM help_lookup('LEN')").collect()) == [2, 3, 6]
+
+
+def test_postings_are_shuffled_as_lists(spark, tmp_path):
+    """Not a row a query, term and document; and what the queries' terms are joined to isn't shuffled."""
+    docs = spark.createDataFrame([(i, f"red fox {i % 3}") for i in range(40)], "doc_id long, text string")
+    inverted.build(docs, str(tmp_path / "i"), shard_docs=8, cell_docs=4)
+    functions.register_search(spark, inverted.Inverted(spark, str(tmp_path / "i")), "help_lists")
+    spark.createDataFrame([("red 1",), ("fox fox 2",)], "q string").createOrReplaceTempView("_lists_asked")
+    found = spark.sql("SELECT a.q, s.id, s.rank FROM _lists_asked a, LATERAL help_lists(a.q, 3) s")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan and "strategy=broadcast" in plan
+    assert sorted(r.id for r in found.collect() if r.q == "red 1") == [1, 4, 7]
