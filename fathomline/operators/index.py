@@ -1,17 +1,26 @@
 """Term statistics of a corpus: postings, document frequencies, BM25 weights.
 
 All are aggregations with partial ones before the shuffle; statistics of parts add up. Vocabulary never comes to the driver.
+Documents are tokenised once, and their postings gathered block by block where they are read: what is shuffled is a row a term and block, not one a posting.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from fathomline.functions.text import tokens
 
 K1 = 1.5
+#: Tokens of a block, about; a document isn't cut.
+BLOCK_TOKENS = 1 << 21
 
 
 def token_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", by: list[str] | None = None, stops: list[str] | None = None, stem=None) -> DataFrame:
@@ -32,6 +41,79 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text: str = "text", by: li
     ).filter("term IS NOT NULL")
 
 
+def blocks(docs: DataFrame, keep: list[str], text: str = "text", by: list[str] | None = None, stops: list[str] | None = None, stem=None) -> DataFrame:
+    """(by..., term, tf, keep...): the same postings, gathered: of a block of documents, a row a term and frequency, with the kept columns of all its documents as arrays of one order."""
+    by = by or []
+    d = docs.select(*by, *keep, tokens(text, stops, stem).alias("_t"))
+    kind = StructType([*(d.schema[c] for c in by), StructField("term", StringType()), StructField("tf", IntegerType()), *(StructField(c, ArrayType(d.schema[c].dataType)) for c in keep)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in cut(batches):
+            row, code, tf, terms = _counted(b)
+            # By value, term and frequency: what is equal in all three is one row.
+            key = (code * (group := _groups(b, by)).shape[0] + group[row]) * (int(tf.max(initial=0)) + 1) + tf
+            order = np.argsort(key, kind="stable")
+            key, row, code, tf = (x[order] for x in (key, row, code, tf))
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+            cuts, at = pa.array(np.append(first, len(key)).astype(np.int32)), pa.array(row)
+            own = [b.column(c).take(pa.array(row[first])) for c in by]
+            lists = [pa.ListArray.from_arrays(cuts, b.column(c).take(at)) for c in keep]
+            yield pa.RecordBatch.from_arrays([*own, terms.take(pa.array(code[first])), pa.array(tf[first].astype(np.int32)), *lists], names=[*by, "term", "tf", *keep])
+
+    return d.mapInArrow(run, kind)
+
+
+def frequencies(docs: DataFrame, text: str = "text", by: list[str] | None = None, stops: list[str] | None = None, stem=None) -> DataFrame:
+    """(by..., term, df, tokens) in one pass: how many documents have a term, and how often; of the null term all documents and their tokens."""
+    by = by or []
+    d = docs.select(*by, tokens(text, stops, stem).alias("_t"))
+    kind = StructType([*(d.schema[c] for c in by), StructField("term", StringType()), StructField("df", LongType()), StructField("tokens", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in cut(batches):
+            row, code, tf, terms = _counted(b)
+            group = _groups(b, by)
+            # Places of the by-values' first documents, to read them from.
+            value, first = np.unique(group, return_index=True)
+            key, place = np.unique(code * len(group) + group[row], return_inverse=True)
+            n = np.bincount(pc.list_parent_indices(b.column("_t")).to_numpy(), minlength=len(group))
+            all_docs, all_tokens = np.bincount(group), np.bincount(group, n)
+            at = pa.array(np.concatenate((first, first[np.searchsorted(value, key % len(group))])))
+            named = pa.concat_arrays([pa.nulls(len(value), pa.string()), terms.take(pa.array(key // len(group))).cast(pa.string())])
+            df, sums = np.concatenate((all_docs[value], np.bincount(place, minlength=len(key)))), np.concatenate((all_tokens[value], np.bincount(place, tf, len(key))))
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in by), named, pa.array(df.astype(np.int64)), pa.array(sums.astype(np.int64))], names=[*by, "term", "df", "tokens"])
+
+    return d.mapInArrow(run, kind).groupBy(*by, "term").agg(F.sum("df").alias("df"), F.sum("tokens").alias("tokens"))
+
+
+def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of whole documents (_t: tokens), of about BLOCK_TOKENS."""
+    for b in batches:
+        n = np.cumsum(pc.fill_null(pc.list_value_length(b.column("_t")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        starts = np.flatnonzero(np.diff(n // BLOCK_TOKENS, prepend=-1)) if len(n) else np.zeros(0, np.int64)
+        for i, j in zip(starts, np.append(starts, b.num_rows)[1:], strict=True):
+            yield b.slice(i, j - i)
+
+
+def _counted(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """A block's postings, by term and document: the document's row, the term's number, its frequency; and the terms of the numbers."""
+    found = b.column("_t").flatten().dictionary_encode()
+    key = found.indices.to_numpy(zero_copy_only=False).astype(np.int64) * b.num_rows + pc.list_parent_indices(b.column("_t")).to_numpy()
+    key.sort()
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    tf = np.diff(np.append(first, len(key)))
+    return key[first] % b.num_rows, key[first] // b.num_rows, tf, found.dictionary
+
+
+def _groups(b: pa.RecordBatch, by: list[str]) -> np.ndarray:
+    """A number for each row, equal where all columns of `by` are, nulls too; below the number of rows."""
+    out = np.zeros(b.num_rows, np.int64)
+    for c in by:
+        d = b.column(c).dictionary_encode(null_encoding="encode")
+        out = np.unique(out * len(d.dictionary) + d.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    return out
+
+
 def term_stats(posts: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by..., term, df)."""
     return posts.groupBy(*(by or []), "term").agg(F.count("*").alias("df"))
@@ -75,10 +157,20 @@ def weight(k1: float = K1, b: float = 0.0) -> Column:
     return idf() * (tf * F.lit(k1 + 1)) / (tf + length)
 
 
-def weights(docs: DataFrame, id_col: str = "doc_id", text: str = "text", by: list[str] | None = None, stops: list[str] | None = None, stem=None, b: float = 0.0) -> DataFrame:
-    """(by..., id, term, weight) of all documents; statistics are those of each value of `by`."""
-    posts = postings(docs, id_col, text, by, stops, stem)
-    return weighted(posts, term_stats(posts, by), corpus_stats(docs, text, by, stops, stem), id_col, by, b)
+def weights(docs: DataFrame, id_col: str = "doc_id", text: str = "text", by: list[str] | None = None, stops: list[str] | None = None, stem=None, b: float = 0.0, digits: int | None = None) -> DataFrame:
+    """(by..., id, term, weight) of all documents, rounded to `digits` if given; statistics are those of each value of `by`.
+
+    Without lengths a weight is a term's and a frequency's, the same in all documents: it is computed for gathered postings, which are shuffled once, and handed to the documents last.
+    """
+    rounded = lambda d: d.withColumn("weight", F.round("weight", digits)) if digits is not None else d
+    if b:
+        posts = postings(docs, id_col, text, by, stops, stem)
+        return rounded(weighted(posts, term_stats(posts, by), corpus_stats(docs, text, by, stops, stem), id_col, by, b))
+    d = blocks(docs, [id_col], text, by, stops, stem).withColumn("df", F.sum(F.size(id_col)).over(Window.partitionBy(*(by or []), "term")))
+    # One row a value of `by`: sent out, so that postings aren't gathered by it.
+    totals = F.broadcast(docs.groupBy(*(by or [])).agg(F.count("*").alias("total_docs")))
+    d = d.join(totals, by) if by else d.crossJoin(totals)
+    return rounded(d.withColumn("weight", weight()).filter("weight > 0")).select(*(by or []), F.explode(id_col).alias(id_col), "term", "weight")
 
 
 def weighted(posts: DataFrame, stats: DataFrame, totals: DataFrame, id_col: str = "doc_id", by: list[str] | None = None, b: float = 0.0) -> DataFrame:
@@ -95,12 +187,15 @@ def save(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
 
     A corpus without documents is refused, as nothing could be weighed by it; what is at the path is replaced.
     """
-    totals = corpus_stats(docs, text, by, stops, stem)
-    first = totals.agg(F.sum("total_docs")).first()
-    if not first[0]:
-        raise ValueError("a corpus without documents has no statistics")
-    term_stats(postings(docs, id_col, text, by, stops, stem), by).write.mode("overwrite").parquet(f"{path}/terms")
-    totals.write.mode("overwrite").parquet(f"{path}/totals")
+    found = frequencies(docs, text, by, stops, stem).persist()
+    try:
+        totals = found.filter("term IS NULL").select(*(by or []), F.col("df").alias("total_docs"), (F.col("tokens") / F.col("df")).alias("avg_doc_length"))
+        if totals.isEmpty():
+            raise ValueError("a corpus without documents has no statistics")
+        found.filter("term IS NOT NULL").select(*(by or []), "term", "df").write.mode("overwrite").parquet(f"{path}/terms")
+        totals.write.mode("overwrite").parquet(f"{path}/totals")
+    finally:
+        found.unpersist()
 
 
 def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

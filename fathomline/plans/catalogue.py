@@ -68,7 +68,7 @@ def tok_counts(spark, sf_dir):
 
 @query(f"""SELECT term, CAST(count(DISTINCT doc_id) AS BIGINT) AS df FROM ({TOKENS}) GROUP BY term""")
 def doc_freq(spark, sf_dir):
-    return index.term_stats(index.postings(read(spark, sf_dir, "documents")))
+    return index.frequencies(read(spark, sf_dir, "documents")).filter("term IS NOT NULL").select("term", "df")
 
 
 @query(f"""SELECT CAST(count(*) AS BIGINT) AS total_docs, round(avg(len({TOK.format("text")})), 6) AS avg_doc_length FROM documents""")
@@ -78,7 +78,7 @@ def corpus_stats(spark, sf_dir):
 
 @query(f"""SELECT term, CAST(sum(df) AS BIGINT) AS df FROM (SELECT source, term, count(DISTINCT doc_id) AS df FROM ({TOKENS}) GROUP BY ALL) GROUP BY term""")
 def incremental_doc_freq(spark, sf_dir):
-    parts = index.term_stats(index.postings(read(spark, sf_dir, "documents"), by=["source"]), ["source"])
+    parts = index.frequencies(read(spark, sf_dir, "documents"), by=["source"]).filter("term IS NOT NULL")
     return index.merged(parts.select("term", "df"))
 
 
@@ -93,7 +93,7 @@ WEIGHTS = f"""SELECT doc_id, term, {WEIGHT.format(n="(SELECT count(*) FROM docum
 
 @query(f"""SELECT doc_id, term, round(weight, 6) AS weight FROM ({WEIGHTS})""")
 def bm25_weights(spark, sf_dir):
-    return index.weights(read(spark, sf_dir, "documents")).withColumn("weight", F.round("weight", 6))
+    return index.weights(read(spark, sf_dir, "documents"), digits=6)
 
 
 @query(
@@ -101,7 +101,7 @@ def bm25_weights(spark, sf_dir):
     SELECT source, doc_id, term, round({WEIGHT.format(n="n")}, 6) AS weight FROM p JOIN s USING (source, term) JOIN t USING (source)"""
 )
 def bm25_weights_by_source(spark, sf_dir):
-    return index.weights(read(spark, sf_dir, "documents"), by=["source"]).withColumn("weight", F.round("weight", 6))
+    return index.weights(read(spark, sf_dir, "documents"), by=["source"], digits=6)
 
 
 STOPPED = ["the", "and", "of", "to", "in"]
@@ -113,7 +113,7 @@ STOPPED_SQL = f"SELECT * FROM ({POSTINGS}) WHERE term NOT IN ('the', 'and', 'of'
     FROM ({STOPPED_SQL}) JOIN (SELECT term, count(*) AS df FROM ({STOPPED_SQL}) GROUP BY term) USING (term)"""
 )
 def bm25_without_stops(spark, sf_dir):
-    return index.weights(read(spark, sf_dir, "documents"), stops=STOPPED).withColumn("weight", F.round("weight", 6))
+    return index.weights(read(spark, sf_dir, "documents"), stops=STOPPED, digits=6)
 
 
 def stored_stats(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -139,7 +139,7 @@ def sketch_stats(spark, sf_dir):
     found = sketches.read(sketches.merged(own, ["versions"]))
     n = d.select("versions", F.size(tokens("text")).alias("n")).join(F.broadcast(found.select("versions", "p50")), "versions")
     ranks = n.groupBy("versions").agg(F.avg((F.col("n") <= F.col("p50")).cast("double")).alias("upto"), F.avg((F.col("n") < F.col("p50")).cast("double")).alias("below"))
-    terms = index.term_stats(index.postings(d, "source", by=["versions"]), ["versions"]).groupBy("versions").agg(F.count("*").alias("exact"))
+    terms = index.frequencies(d, by=["versions"]).filter("term IS NOT NULL").groupBy("versions").agg(F.count("*").alias("exact"))
     near = (F.abs(F.col("distinct_terms") - F.col("exact")) <= 0.04 * F.col("exact")).alias("terms_close")
     return found.join(ranks, "versions").join(terms, "versions").select("versions", "n_docs", "n_tokens", near, ((F.col("below") <= 0.53) & (F.col("upto") >= 0.47)).alias("median_close"))
 
