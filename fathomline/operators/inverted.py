@@ -32,7 +32,12 @@ from . import index, search
 SHARD_DOCS, CELL_DOCS = 1 << 16, 128
 #: Terms up to this many are a list in the scan's filter; more are joined to it, with the same folders picked.
 TERMS_IN_FILTER = 2000
-POSTINGS_A_FILE, CHARS_A_POSTING, LEAST_BUCKETS, MOST_BUCKETS = 10_000_000, 8, 8, 4096
+#: A file is one task's sort: some 150 MB of gathered postings.
+POSTINGS_A_FILE, CHARS_A_POSTING, LEAST_BUCKETS, MOST_BUCKETS, MOST_TASKS = 4_000_000, 8, 8, 4096, 10_000
+#: Shards whose postings travel together, so that lists stay long however many shards there are: a term's are 2 million at most.
+SHARDS_A_SPAN = 32
+#: Postings, about, that are put in order at once.
+POSTINGS_A_STEP = 1 << 20
 #: Cells that are scored before the bar is looked at again.
 CELLS_A_STEP = 16
 
@@ -50,7 +55,6 @@ def build(
     and have no postings. A corpus without documents is refused.
     """
     spark = docs.sparkSession
-    posts = index.postings(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")), "_id", "_text", stops=stops, stem=stem)
     total, chars = docs.agg(F.count("*"), F.sum(F.length(text))).first()
     if not total:
         raise ValueError("a corpus without documents has no index")
@@ -59,14 +63,16 @@ def build(
     # Files of about POSTINGS_A_FILE: by folder first, then by group of shards.
     files = (chars or 0) // (POSTINGS_A_FILE * CHARS_A_POSTING) + 1
     n_buckets = buckets or max(LEAST_BUCKETS, min(MOST_BUCKETS, files))
-    groups = min(n_shards, -(-files // n_buckets))
-    h = F.xxhash64(F.lit(1), F.col("_id"))
-    posts = posts.withColumn("shard", F.pmod(h, F.lit(n_shards)).cast("int")).withColumn("cell", F.pmod(F.shiftright(h, 32), F.lit(n_cells)).cast("int"))
+    groups = min(-(-n_shards // SHARDS_A_SPAN), -(-files // n_buckets))
+    h = F.xxhash64(F.lit(1), F.col(id_col))
+    shard = F.pmod(h, F.lit(n_shards)).cast("int")
+    placed = docs.select(F.floor(shard / SHARDS_A_SPAN).cast("int").alias("span"), shard.alias("shard"), F.pmod(F.shiftright(h, 32), F.lit(n_cells)).cast("int").alias("cell"), F.col(id_col).alias("_id"), F.col(text).alias("_text"))
+    posts = index.blocks(placed, ["shard", "cell", "_id"], "_text", ["span"], stops, stem)
     counted = Observation()
-    posts = posts.observe(counted, F.sum("tf").alias("tokens")).select(bucket("term", n_buckets).alias("bucket"), "term", "shard", "cell", "_id", F.col("tf").cast("int").alias("tf"))
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(n_buckets * groups, 10_000))
-    dealt = posts.repartition(n, "bucket", F.pmod("shard", F.lit(groups))).sortWithinPartitions("bucket", "term", "shard", "cell", "_id")
-    kind = posts.schema["_id"].dataType.simpleString()
+    posts = posts.observe(counted, F.sum(F.col("tf").cast("long") * F.size("_id")).alias("tokens")).select(bucket("term", n_buckets).alias("bucket"), "term", "span", "tf", "shard", "cell", "_id")
+    # A task a file: by a hash of folder and group, several would meet in one task.
+    dealt = posts.repartitionById(min(n_buckets * groups, MOST_TASKS), (F.col("bucket") * groups + F.pmod("span", F.lit(groups))).cast("int")).sortWithinPartitions("bucket", "term", "span")
+    kind = placed.schema["_id"].dataType.simpleString()
     done = dealt.mapInArrow(_rows, f"bucket int, term string, shard int, n int, blocks array<struct<cell:int,most:int,ids:array<{kind}>,tfs:array<int>>>")
     done.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
     facts = [(total, (counted.get["tokens"] or 0) / total, n_shards, n_cells, n_buckets)]
@@ -74,7 +80,7 @@ def build(
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted postings (bucket, term, shard, cell, id, tf) -> a row a term and shard. What a batch ends in the middle of is held until its end comes."""
+    """Sorted gathered postings (bucket, term, span, tf, shards, cells, ids) -> a row a term and shard. What a batch ends in the middle of is held until its end comes."""
     held: list[pa.RecordBatch] = []
     for b in itertools.chain(batches, [None]):
         if b is not None and not b.num_rows:
@@ -83,24 +89,36 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not held:
             return
         t = pa.Table.from_batches(held).combine_chunks()
-        term, shard, cell = (t.column(c).combine_chunks() for c in ("term", "shard", "cell"))
         changed = lambda a: pc.not_equal(a.slice(1), a.slice(0, len(a) - 1)).to_numpy(zero_copy_only=False)
-        new_row = np.concatenate(([True], changed(term) | changed(shard)))
-        rows = np.flatnonzero(new_row)
-        end = t.num_rows if b is None else int(rows[-1])
+        starts = np.flatnonzero(np.concatenate(([True], changed(t.column("term").combine_chunks()) | changed(t.column("span").combine_chunks()))))
+        end = t.num_rows if b is None else int(starts[-1])
         held = [] if b is None else t.slice(end).to_batches()
-        if not end:
-            continue
-        rows = rows[rows < end]
-        blocks = np.flatnonzero((new_row | np.concatenate(([True], changed(cell))))[:end])
-        tf = t.column("tf").to_numpy()[:end]
-        cuts = pa.array(np.concatenate((blocks, [end])), pa.int32())
-        ids = t.column("_id").combine_chunks().slice(0, end)
-        parts = [cell.take(pa.array(blocks)), pa.array(np.maximum.reduceat(tf, blocks)), pa.ListArray.from_arrays(cuts, ids), pa.ListArray.from_arrays(cuts, pa.array(tf))]
-        lists = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(blocks, rows), len(blocks)), pa.int32()), pa.StructArray.from_arrays(parts, ["cell", "most", "ids", "tfs"]))
-        at = pa.array(rows)
-        n = pa.array(np.diff(np.append(rows, end)).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([t.column("bucket").combine_chunks().take(at), term.take(at), shard.take(at), n, lists], names=["bucket", "term", "shard", "n", "blocks"])
+        starts = starts[starts < end]
+        # Some rows at a time, so that their lists stay small.
+        sizes = np.cumsum(pc.list_value_length(t.column("_id").combine_chunks()).to_numpy(zero_copy_only=False), dtype=np.int64)
+        step = sizes[starts] // POSTINGS_A_STEP if end else starts
+        for part in np.split(starts, np.flatnonzero(np.diff(step)) + 1) if end else []:
+            last = starts[starts > part[-1]]
+            yield _merged(t.slice(part[0], (last[0] if len(last) else end) - part[0]), part - part[0])
+
+
+def _merged(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+    """Whole rows of the index: those of t from each of starts on are of one term and span."""
+    flat = {c: pc.list_flatten(t.column(c)).combine_chunks() for c in ("shard", "cell", "_id")}
+    own = pc.list_value_length(t.column("_id")).to_numpy()
+    of, shard, cell = np.repeat(np.arange(len(starts)), np.add.reduceat(own, starts)), flat["shard"].to_numpy().astype(np.int64), flat["cell"].to_numpy()
+    row = of * (shard.max() + 1) + shard
+    order = np.argsort(row * (int(cell.max()) + 1) + cell, kind="stable")
+    of, shard, cell, row, tf = of[order], shard[order], cell[order], row[order], np.repeat(t.column("tf").to_numpy(), own)[order]
+    new_row = np.concatenate(([True], row[1:] != row[:-1]))
+    blocks = np.flatnonzero(new_row | np.concatenate(([True], cell[1:] != cell[:-1])))
+    rows = np.flatnonzero(new_row)
+    cuts = pa.array(np.append(blocks, len(row)), pa.int32())
+    parts = [pa.array(cell[blocks]), pa.array(np.maximum.reduceat(tf, blocks)), pa.ListArray.from_arrays(cuts, flat["_id"].take(pa.array(order))), pa.ListArray.from_arrays(cuts, pa.array(tf))]
+    lists = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(blocks, rows), len(blocks)), pa.int32()), pa.StructArray.from_arrays(parts, ["cell", "most", "ids", "tfs"]))
+    at, n = pa.array(starts[of[rows]]), pa.array(np.diff(np.append(rows, len(row))).astype(np.int32))
+    bucket, term = (t.column(c).combine_chunks().take(at) for c in ("bucket", "term"))
+    return pa.RecordBatch.from_arrays([bucket, term, pa.array(shard[rows].astype(np.int32)), n, lists], names=["bucket", "term", "shard", "n", "blocks"])
 
 
 def build_next(docs: DataFrame, root: str, **how) -> str:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomline.functions.text import stem_russian
-from fathomline.operators import cells, inverted, search
+from fathomline.operators import cells, index, inverted, search
 
 
 def ranked(d, id_col):
@@ -109,3 +109,23 @@ def test_top_keeps_ties_by_id():
     t.add(np.array([1, 8, 2]), np.array([[1.0, np.nan], [0.5, np.nan], [3.0, np.nan]]))
     b = t.batch(["q", "id", "score"], pa.int64()).to_pydict()
     assert list(zip(b["q"], b["id"], strict=True)) == [(0, 2), (0, 1), (0, 4), (1, 4)]
+
+
+def test_a_task_writes_one_file_of_postings(spark, corpus, tmp_path):
+    inverted.build(corpus, str(tmp_path / "o"), buckets=16)
+    files = [f.name for f in (tmp_path / "o" / "postings").glob("bucket=*/part-*.parquet")]
+    # A file's number is its task's: where two folders met in one task, so would their sorts.
+    assert len({n.split("-")[1] for n in files}) == len(files) == 16
+
+
+def test_spans_of_shards_and_steps_make_no_difference(spark, corpus, tmp_path, monkeypatch):
+    monkeypatch.setattr(inverted, "SHARDS_A_SPAN", 3)
+    inverted.build(corpus, str(tmp_path / "x"), shard_docs=64, cell_docs=8)
+    found = spark.read.parquet(str(tmp_path / "x" / "postings")).select("term", "shard", F.explode("blocks").alias("b")).select("term", "shard", F.explode(F.arrays_zip("b.ids", "b.tfs")).alias("x"))
+    one = {(r["term"], r["x"]["ids"], r["x"]["tfs"]) for r in found.collect()}
+    assert one == {(r["term"], r["doc_id"], r["tf"]) for r in index.postings(corpus).collect()}
+    t = pa.table({"bucket": [0] * 4, "term": ["a", "a", "b", "b"], "span": [0] * 4, "tf": [1, 2, 1, 3], "shard": [[1, 0], [0], [2], [2]], "cell": [[5, 4], [1], [0], [0]], "_id": [[10, 11], [12], [13], [14]]})
+    monkeypatch.setattr(inverted, "POSTINGS_A_STEP", 1)
+    rows = [r for b in inverted._rows(iter(t.to_batches(max_chunksize=1))) for r in b.to_pylist()]
+    assert [(r["term"], r["shard"], r["n"]) for r in rows] == [("a", 0, 2), ("a", 1, 1), ("b", 2, 2)]
+    assert rows[0]["blocks"] == [{"cell": 1, "most": 2, "ids": [12], "tfs": [2]}, {"cell": 4, "most": 1, "ids": [11], "tfs": [1]}] and rows[2]["blocks"][0]["most"] == 3
