@@ -7,7 +7,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,13 +70,14 @@ def encoded(text: str | Column, dim: int = 64, encoder: Callable[[], Encoder] |
     texts at once, null as ''. Without one words are hashed to dim numbers."""
     make, unit = encoder or (lambda: hashing(dim)), unit_rows
 
-    @F.pandas_udf("array<double>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = make()
         for s in batches:
-            texts = s.fillna("").tolist()
-            parts = [unit(np.asarray(model(texts[i : i + batch]), dtype=float)) for i in range(0, len(texts), batch)]
-            yield pd.Series([v.tolist() for p in parts for v in p], index=s.index, dtype=object)
+            # Of a batch of Spark's only `batch` texts are Python's at a time, and vectors are plain numbers.
+            parts = [unit(np.asarray(model([t or "" for t in s.slice(i, batch).to_pylist()]), dtype=float)) for i in range(0, len(s), batch)]
+            lens = np.concatenate([[0], *(np.full(len(p), p.shape[1]) for p in parts)])
+            yield pa.ListArray.from_arrays(pa.array(np.cumsum(lens), pa.int32()), pa.array(np.concatenate([np.zeros(0), *(p.ravel() for p in parts)])))
 
     return run(col(text))
 
