@@ -28,6 +28,8 @@ RRF_K, SPARSE_BOOST = 60, 0.5
 QUERIES_A_PASS = 2000
 #: Terms of queries that are looked for before tokens leave the JVM; more are looked for behind it.
 TERMS_IN_PLAN = 500
+#: Scores of vectors that a task holds at once: 4 MB.
+SCORES_A_STEP = 1 << 19
 
 
 def top(scored: DataFrame, k: int, by: str = "query_id", id_col: str = "doc_id", tie: list[Column] | None = None) -> DataFrame:
@@ -96,23 +98,24 @@ def _sparse_block(asked: list[Row], of_kind: DataType, docs, k, id_col, text, st
     spark = docs.sparkSession
     names = [r["query_id"] for r in asked]
     terms = {t: i for i, t in enumerate(sorted({t for r in asked for t in r["_t"]}))}
-    wanted = spark.sparkContext.broadcast(terms) if hasattr(spark, "sparkContext") else None
+    wanted = spark.sparkContext.broadcast(list(terms)) if hasattr(spark, "sparkContext") else None
     kind = docs.schema[id_col].dataType.simpleString()
 
     def occur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = wanted.value if wanted else terms
-        for batch in batches:
-            at, counts = [], []
-            for ts in batch.column(1).to_pylist():
-                own = Counter(of[t] for t in ts if t in of)
-                at.append(list(own))
-                counts.append(list(own.values()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int64()))], names=[id_col, "t", "tf"])
+        of = pa.array(wanted.value if wanted else list(terms), pa.string())
+        for batch in index.cut(batches):
+            at = pc.index_in(batch.column("_t").flatten().cast(pa.string()), of).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = pc.list_parent_indices(batch.column("_t")).to_numpy()
+            key, count = np.unique((row * len(terms) + at)[at >= 0], return_counts=True)
+            has, first = np.unique(key // max(len(terms), 1), return_index=True)
+            cuts = pa.array(np.append(first, len(key)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in ((key % max(len(terms), 1)).astype(np.int32), count.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([batch.column(id_col).take(pa.array(has)), *lists], names=[id_col, "t", "tf"])
 
     found = tokens(text, stops, stem)
     if len(terms) <= TERMS_IN_PLAN:
         found = F.filter(found, lambda t: t.isin(list(terms)))
-    held = docs.select(id_col, found.alias("_t")).mapInArrow(occur, f"{id_col} {kind}, t array<int>, tf array<long>").filter("size(t) > 0")
+    held = docs.select(id_col, found.alias("_t")).mapInArrow(occur, f"{id_col} {kind}, t array<int>, tf array<long>")
     path = shared_path(spark, "query-postings")
     held.write.parquet(path)
     held = spark.read.schema(held.schema).parquet(path)
@@ -181,9 +184,12 @@ def _dense_block(asked: list[Row], of_kind: DataType, rows, k, id_col, embedding
         with np.errstate(divide="ignore", invalid="ignore"):
             unit[d] = np.array(at), m / norm[:, None]
 
+    # Rows that are scored at once.
+    step = max(1, SCORES_A_STEP // max(len(names), 1))
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, id_type = Top(len(names), k), None
-        for batch in batches:
+        for batch in (whole.slice(first, step) for whole in batches for first in range(0, max(whole.num_rows, 1), step)):
             id_type = batch.schema.field(0).type
             lens = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
             for d, (at, queries) in unit.items():
