@@ -44,12 +44,16 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text: str = "text", by: li
 def blocks(docs: DataFrame, keep: list[str], text: str = "text", by: list[str] | None = None, stops: list[str] | None = None, stem=None) -> DataFrame:
     """(by..., term, tf, keep...): the same postings, gathered: of a block of documents, a row a term and frequency, with the kept columns of all its documents as arrays of one order."""
     by = by or []
-    d = docs.select(*by, *keep, tokens(text, stops, stem).alias("_t"))
+    # Stop-words are left out of a block's terms, not of each document's tokens; before stems they have to be.
+    d = docs.select(*by, *keep, tokens(text, stops if stem else None, stem).alias("_t"))
     kind = StructType([*(d.schema[c] for c in by), StructField("term", StringType()), StructField("tf", IntegerType()), *(StructField(c, ArrayType(d.schema[c].dataType)) for c in keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in cut(batches):
             row, code, tf, terms = _counted(b)
+            if stops and not stem:
+                own = ~pc.is_in(terms, value_set=pa.array(stops, terms.type)).to_numpy(zero_copy_only=False)[code]
+                row, code, tf = row[own], code[own], tf[own]
             # By value, term and frequency: what is equal in all three is one row.
             key = (code * (group := _groups(b, by)).shape[0] + group[row]) * (int(tf.max(initial=0)) + 1) + tf
             order = np.argsort(key, kind="stable")

@@ -48,3 +48,13 @@ def test_weights_are_tokenised_and_shuffled_once(spark):
     weight = lambda n, df, tf: round(math.log((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5), 6)
     a = [("a", 1, "blue", weight(3, 1, 1)), ("a", 1, "red", weight(3, 3, 2)), ("a", 2, "red", weight(3, 3, 1)), ("a", 6, "green", weight(3, 1, 1)), ("a", 6, "red", weight(3, 3, 2))]
     assert rows(by) == sorted([*a, ("b", 5, "blue", weight(2, 1, 2))], key=repr)
+
+
+def test_stop_words_are_left_out_of_a_blocks_terms(spark):
+    docs = spark.createDataFrame(ROWS, "doc_id long, source string, text string")
+    for by in ([], ["source"]):
+        one = index.blocks(docs, ["doc_id"], by=by, stops=["red", "none"]).select(*by, F.explode("doc_id").alias("doc_id"), "term", F.col("tf").cast("long").alias("tf"))
+        assert rows(one) == rows(index.postings(docs, by=by, stops=["red", "none"])) != []
+    assert index.blocks(docs, ["doc_id"], stops=["red", "blue", "green"]).count() == 0
+    # No test of each token.
+    assert "filter(" not in index.weights(docs, stops=["red"])._jdf.queryExecution().optimizedPlan().toString()
