@@ -170,7 +170,10 @@ def weights(docs: DataFrame, id_col: str = "doc_id", text: str = "text", by: lis
     if b:
         posts = postings(docs, id_col, text, by, stops, stem)
         return rounded(weighted(posts, term_stats(posts, by), corpus_stats(docs, text, by, stops, stem), id_col, by, b))
-    d = blocks(docs, [id_col], text, by, stops, stem).withColumn("df", F.sum(F.size(id_col)).over(Window.partitionBy(*(by or []), "term")))
+    # Documents of one value of `by` side by side: else a block has few of each, and its rows gather next to nothing. By id too, as one value may have most of them.
+    near = docs.select(*by, id_col, text).repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, id_col) if by else docs
+    # The term first: rows of one `by` are told apart by the first bytes that the sort compares.
+    d = blocks(near, [id_col], text, by, stops, stem).withColumn("df", F.sum(F.size(id_col)).over(Window.partitionBy("term", *(by or []))))
     # One row a value of `by`: sent out, so that postings aren't gathered by it.
     totals = F.broadcast(docs.groupBy(*(by or [])).agg(F.count("*").alias("total_docs")))
     d = d.join(totals, by) if by else d.crossJoin(totals)

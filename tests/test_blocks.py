@@ -58,3 +58,11 @@ def test_stop_words_are_left_out_of_a_blocks_terms(spark):
     assert index.blocks(docs, ["doc_id"], stops=["red", "blue", "green"]).count() == 0
     # No test of each token.
     assert "filter(" not in index.weights(docs, stops=["red"])._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_documents_of_a_version_are_side_by_side(spark):
+    """Rows shuffled are of a version, term and frequency each; with versions by turns in all blocks there would be one a document."""
+    docs = spark.range(400).repartition(4).selectExpr("id AS doc_id", "CAST(id % 20 AS STRING) AS source", "'red blue' AS text")
+    d = index.weights(docs, by=["source"])
+    assert "rangepartitioning(source" in d._jdf.queryExecution().executedPlan().toString()
+    assert d.count() == 800
